@@ -1,8 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from . import decontaminate
+from . import decontaminate, mixing, quality
 
 QUERIES = {
+    "op1_mix_sources": mixing.op1_mix_sources,
+    "op4_quality_rules": quality.op4_quality_rules,
     "op8_decontaminate": decontaminate.op8_decontaminate,
 }
 
