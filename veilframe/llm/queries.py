@@ -1,17 +1,19 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from . import decontaminate, licenses, mixing, packing, quality, tokens, urls
+from . import decontaminate, licenses, mixing, neardup, packing, quality, tokens, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_pack_tokens": packing.op2_pack_tokens,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_near_duplicates": neardup.op5_near_duplicates,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_url_filter": urls.op9_url_filter,
     "op10_token_counts": tokens.op10_token_counts,
 }
 
 ORACLES = {
+    "op5_near_duplicates": neardup.SQL,
     "op8_decontaminate": decontaminate.SQL,
 }
