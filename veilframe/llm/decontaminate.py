@@ -15,7 +15,6 @@ that share an id count once, and a null id reads as ``null``.  Further columns a
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -134,16 +133,15 @@ def covered(stretches: list[tuple[int, int]]) -> int:
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    window: int = 10, block_bytes: int = 16 << 20, carry: list[str] | None = None,
+    window: int = 10, block_bytes: int = 16 << 20,
 ) -> DataFrame:
-    """One row per document: id, the ``carry`` columns, n_words, spans (hit word ranges), items (ids as strings)."""
+    """One row per document: id, n_words, spans (hit word ranges), items (ids as strings)."""
     spark = docs.sparkSession
     own = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     scratch = Scratch(spark, "decontaminate")
-    names = [id_col, *(c for c in carry or [] if c not in (id_col, text_col))]
-    out = docs.select(*[F.col(c) for c in names], F.col(text_col).alias("text__"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    out = docs.select(F.col(id_col), F.col(text_col).alias("text__"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     schema = out.schema
     for k in range(n):
         block = own if n == 1 else own.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
@@ -167,7 +165,7 @@ def find_contamination(
             out = scratch.keep(out, f"pass{k}")
             if k:
                 scratch.drop(f"pass{k - 1}")
-    return out.withColumnRenamed("text__", text_col) if text_col in (carry or []) else out.drop("text__")
+    return out.drop("text__")
 
 
 def hit_words(spans: str = "spans"):
@@ -180,10 +178,11 @@ def hit_words(spans: str = "spans"):
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any occurrence of a benchmark window, with all their columns."""
-    found = find_contamination(docs, benchmark, carry=docs.columns, **options)
-    return found.filter(F.size("items") == 0).select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The documents without any occurrence of a benchmark window, with all their columns, whatever their names."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row__"), F.col(text_col).alias("text"))
+    found = find_contamination(own, benchmark, id_col="row__", **options)
+    return found.filter(F.size("items") == 0).select("row__.*")
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -144,13 +144,12 @@ def take_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
     of their decisions.
     """
     mix = mix_sources(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
-    key = ["id__", "source__", "size__"]
     lists = mix.groupBy(F.col(id_col).alias("id__"), F.col(source_col).alias("source__"), F.col("size").alias("size__")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies__"))
-    rows = docs.withColumns({"id_": F.col(id_col), "source_": F.col(source_col), "size_": word_count(text_col)})
-    same = [F.col(k).eqNullSafe(F.col(k[:-1])) for k in key]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col(id_col).alias("id_"), F.col(source_col).alias("source_"), word_count(text_col).alias("size_"))
     n = F.row_number().over(Window.partitionBy("id_", "source_", "size_").orderBy(F.lit(0)))
-    rows = rows.withColumn("n_", n).join(lists, [F.col("id_") == F.col("id__"), *same[1:]], "inner")
-    return rows.withColumn("copy_", F.explode(F.array_repeat(F.lit(0), F.get("copies__", F.col("n_") - 1).cast("int")))).select(*docs.columns)
+    same = [F.col(f"{k}_").eqNullSafe(F.col(f"{k}__")) for k in ("id", "source", "size")]
+    rows = rows.withColumn("n_", n).join(lists, same, "inner")
+    return rows.select("row_", F.explode(F.array_repeat(F.lit(0), F.get("copies__", F.col("n_") - 1).cast("int")))).select("row_.*")
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -130,9 +130,17 @@ def score(model: dict, votes: dict[str, Column]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
-def judge_quality(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5, least_words: int = 50, repeat_percent: int = 50) -> DataFrame:
-    """The documents with their measures, base_failed, quality (posterior) and kept."""
-    return _judge(with_measures(docs, text_col), with_measures(docs.select(text_col), text_col), threshold, least_words, repeat_percent)
+def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, least_words: int = 50, repeat_percent: int = 50) -> DataFrame:
+    """Id and text of the documents with their measures, base_failed, quality (posterior) and kept."""
+    own = docs.select(F.col(id_col), F.col(text_col))
+    return _judge(with_measures(own, text_col), with_measures(own, text_col), threshold, least_words, repeat_percent)
+
+
+def keep_quality(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5, least_words: int = 50, repeat_percent: int = 50) -> DataFrame:
+    """The kept documents with all their columns, whatever their names."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row__"), F.col(text_col).alias("text__"))
+    judged = _judge(with_measures(own, "text__"), with_measures(own.select("text__"), "text__"), threshold, least_words, repeat_percent)
+    return judged.filter("kept").select("row__.*")
 
 
 def _judge(measured: DataFrame, counted: DataFrame, threshold: float, least_words: int, repeat_percent: int) -> DataFrame:
