@@ -2,11 +2,11 @@
 
 A byte is removed if a string of ``length`` bytes that covers it also starts anywhere else.
 
-1. Screening.  Of each window of ``length`` bytes the least hash of its ``GRAM``-byte strings is
-   selected; equal windows select equal hashes at equal places.  Windows whose selected hash is unique
-   in the corpus cannot repeat and are left out.  Equal texts enter as one, and so do equal blocks
-   of what is left (cut where the text itself says, each with the ``length - 1`` bytes behind it);
-   only windows that share a hash with another place after that go on.
+1. Screening.  Of each window of ``length`` bytes the least hash of its ``length // 2``-byte strings
+   is selected; equal windows select equal hashes at equal places.  Windows whose selected hash is
+   unique in the corpus cannot repeat and are left out.  Equal texts enter as one, and so do equal
+   runs of windows around one selected place.  What is left falls into buckets by selected hash;
+   windows of different buckets differ.
 2. Difference cover.  A position belongs to level k + 1 if the k-th digit of its base-3 offset is 1
    or 2 and it belongs to level k.  The name of a position at level k + 1 ranks the triple of names
    at distances 0, 3**k and 2 * 3**k among all such triples: one distributed sort a level, until names
@@ -18,7 +18,9 @@ A byte is removed if a string of ``length`` bytes that covers it also starts any
    bytes by a 62-bit polynomial digest; those that agree repeat.  As only neighbours are
    compared, a wrong match has a chance of about ``length**2 / 2**62`` for each comparison.
 
-Every sort is a range partitioning of flat rows, and each step is a table in the shared folder.
+Buckets of up to ``bucket_bytes`` are sorted in one task each (many to a task), with steps 2 to 4 on
+arrays; larger ones, such as a passage in very many surroundings, are sorted by the whole cluster:
+every sort is then a range partitioning of flat rows, and each step a table in the shared folder.
 
 Edge cases: null reads as empty; shorter texts lose nothing; a text that exists twice goes as a whole
 if it has ``length`` bytes; repeated rows are copies; an empty table gives an empty result; further
@@ -40,9 +42,9 @@ from pyspark.sql import functions as F
 from . import text as T
 from .scratch import Scratch
 
-LENGTH, GRAM = 400, 200
-#: A block ends on average after so many selected hashes.
-CUT = 4
+LENGTH = 400
+#: Buckets of more bytes are sorted by the whole cluster; a task sorts others of about ``TASK_BYTES``.
+BUCKET_BYTES, TASK_BYTES = 1 << 21, 1 << 20
 #: Rows of a task in the sorts.
 TASK_ROWS = 400_000
 
@@ -56,11 +58,14 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
+def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
+    prefix = T.prefix_hash(raw)
+    return T.mix((prefix[gram:] - prefix[:-gram]) * T.powers(len(raw))[1][: len(raw) - gram + 1])
+
+
 def select(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash selected by each window, hashes at the selected places); at least ``length`` bytes."""
-    prefix = T.prefix_hash(raw)
-    n = len(raw) - gram + 1
-    hashes = T.mix((prefix[gram:] - prefix[:-gram]) * T.powers(len(raw))[1][:n])
+    hashes = gram_hashes(raw, gram)
     width = length - gram + 1
     least = _slide(hashes, width, np.minimum)
     pad = np.zeros(width - 1, np.uint64)
@@ -107,48 +112,43 @@ def _within(values: np.ndarray, some: np.ndarray) -> np.ndarray:
     return some[at] == values if len(some) else np.zeros(len(values), bool)
 
 
-def cut_blocks(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Blocks of windows with shared hashes: cid, start, n (windows), block (digest of its bytes), body."""
+def cut_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Runs of windows with one shared selected hash: cid, start, n (windows), print (that hash), body (digest), twin (selected at several places)."""
 
     def scan(batches):
+        width = length - gram + 1
         for batch in batches:
             at = batch.schema.get_field_index
             for cid, raw, sha, prints in zip(batch.column(at("cid")).to_pylist(), _texts(batch.column(at("text"))), batch.column(at("sha")).to_pylist(), batch.column(at("prints"))):
                 if hashlib.sha256(raw).digest() != sha:
                     continue  # another text under the same id
-                least = select(raw, length, gram)[0]
-                turn = np.concatenate([[False], (least[1:] != least[:-1]) & (least[1:] % np.uint64(CUT) == 0)])
+                least, hashes = select(raw, length, gram)[0], gram_hashes(raw, gram)
+                ends = np.flatnonzero(np.concatenate([least[1:] != least[:-1], [True]])) + 1
+                starts = np.concatenate([[0], ends[:-1]])
+                shared = _within(least[starts], prints.values.to_numpy().view(np.uint64))
                 rows = []
-                for a, b in zip(*_runs(_within(least, prints.values.to_numpy().view(np.uint64)))):
-                    cuts = [a, *(a + 1 + np.flatnonzero(turn[a + 1 : b])), b]
-                    for s, e in zip(cuts[:-1], cuts[1:]):
-                        body = raw[s : e + length - 1].tobytes()
-                        rows.append((cid, int(s), int(e - s), hashlib.blake2b(body, digest_size=16).digest(), body))
-                for lo in range(0, len(rows), 4096):
-                    part = list(zip(*rows[lo : lo + 4096]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["cid", "start", "n", "block", "body"])
-
-    return texts.mapInArrow(scan, "cid bigint, start bigint, n bigint, block binary, body binary")
+                for s, e in zip(starts[shared].tolist(), ends[shared].tolist()):
+                    twin = np.count_nonzero(hashes[s : e + width - 1] == least[s]) > 1
+                    rows.append((cid, s, e - s, least[s : s + 1].view(np.int64)[0], hashlib.blake2b(raw[s : e + length - 1], digest_size=16).digest(), bool(twin)))
+                for lo in range(0, len(rows), 65536):
+                    part = list(zip(*rows[lo : lo + 65536]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()))], names=["cid", "start", "n", "print", "body", "twin"])
 
+    return texts.mapInArrow(scan, "cid bigint, start bigint, n bigint, print bigint, body binary, twin boolean")
 
-def _block_prints(length: int, gram: int):
-    def scan(batches):
-        for batch in batches:
-            for bid, raw in zip(batch.column(0), _texts(batch.column(1))):
-                prints = _twice(select(raw, length, gram)[1]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([bid.as_py()], pa.int64()), pa.array([prints], pa.list_(pa.int64()))], names=["bid", "prints"])
-
-    return scan
 
+def _bodies(length: int):
+    """The bytes of the runs listed in the column runs."""
 
-def _open_strings(length: int, gram: int):
     def scan(batches):
         for batch in batches:
-            for bid, raw, prints in zip(batch.column(0), _texts(batch.column(1)), batch.column(2)):
-                least = select(raw, length, gram)[0]
-                a, b = _runs(_within(least, prints.values.to_numpy().view(np.uint64)))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array([bid.as_py()] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array([raw[s : e + length - 1].tobytes() for s, e in zip(a, b)], pa.binary())], names=["bid", "start", "body"])
+            for raw, runs in zip(_texts(batch.column(0)), batch.column(1).to_pylist()):
+                for lo in range(0, len(runs), 1024):
+                    part = runs[lo : lo + 1024]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([r["print"] for r in part], pa.int64()), pa.array([r["body"] for r in part], pa.binary()), pa.array([r["large"] for r in part], pa.bool_()), pa.array([raw[r["start"] : r["start"] + r["n"] + length - 1].tobytes() for r in part], pa.binary())],
+                        names=["print", "digest", "large", "body"],
+                    )
 
     return scan
 
@@ -320,6 +320,90 @@ def _neighbours(batches):
     yield from _batches({"sid": x["sid"][at], "p": x["p"][at], "side": x["side"][at], "digest": x["digest"][at], "edge": edge, "part": np.full(len(at), TaskContext.get().partitionId())})
 
 
+def repeats_here(bodies: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(string, offset) of all starts whose ``length`` bytes start twice or more in the strings: steps 2 to 4 on arrays."""
+    sizes = np.array([len(b) for b in bodies])
+    ends = np.cumsum(sizes)
+    end = np.repeat(ends, sizes)
+    p = np.arange(len(end)) - np.repeat(ends - sizes, sizes)
+    char = np.concatenate(bodies).astype(np.int64) + 1
+
+    def ahead(values, at, step):
+        there = at + step
+        return np.where(there < end[at], values[np.minimum(there, len(values) - 1)], 0)
+
+    def ordered(*keys):
+        """Sorting order, and for each sorted row the first row with equal keys."""
+        order = np.lexsort(keys[::-1])
+        new = np.ones(len(order), bool)
+        new[1:] = False
+        for k in keys:
+            k = k[order]
+            new[1:] |= k[1:] != k[:-1]
+        first = np.flatnonzero(new)
+        return order, first[np.cumsum(new) - 1] if len(first) else first
+
+    at = np.flatnonzero(p % 3)
+    names = np.zeros(len(char), np.int64)
+    names[at] = char[at] << 18 | ahead(char, at, 1) << 9 | ahead(char, at, 2)
+    levels, step = [], 3
+    while True:
+        levels.append((step, names, at))
+        own = at[p[at] // step % 3 != 0]
+        order, first = ordered(names[own], ahead(names, own, step), ahead(names, own, 2 * step))
+        rank = np.zeros(len(char), np.int64)
+        rank[own[order]] = first + 1
+        if step * 3 > length:
+            break
+        names, at, step = rank, own, step * 3
+    for step, names, at in reversed(levels):
+        digit = p[at] // step % 3
+        merged = np.zeros(len(char), np.int64)
+        for drop, keys in ((2, lambda x: (names[x], ahead(rank, x, step))), (1, lambda x: (names[x], ahead(names, x, step), ahead(rank, x, 2 * step)))):
+            own = at[digit != drop]
+            order, first = ordered(*keys(own))
+            open_ = (digit[digit != drop] == 0)[order]
+            before = np.concatenate([[0], np.cumsum(open_)])[first]
+            merged[own[order]] += np.where(open_, first + 1 if drop == 2 else first - before, before)
+        ranked = at[digit != 0]
+        merged[ranked] += rank[ranked]
+        rank = merged
+    starts = np.concatenate([np.arange(e - n, e - length + 1) for n, e in zip(sizes, ends)])
+    digest = np.concatenate([prefix_digests(b, length) for b in bodies])
+    found = np.zeros(len(starts), bool)
+    digit = p[starts] % 3
+    for drop, keys in ((2, lambda x: (char[x], ahead(rank, x, 1))), (1, lambda x: (char[x], ahead(char, x, 1), ahead(rank, x, 2))), (0, lambda x: (rank[x],))):
+        own = np.flatnonzero(digit != drop)
+        own = own[ordered(*keys(starts[own]))[0]]
+        same = digest[own[1:]] == digest[own[:-1]]
+        found[own[1:][same]] = True
+        found[own[:-1][same]] = True
+    hit = starts[found]
+    return np.searchsorted(ends, hit, side="right"), p[hit]
+
+
+def _sort_here(length: int, task_bytes: int):
+    """Sorts the buckets of a task, in shares of whole buckets of about ``task_bytes``; rows come sorted by bucket."""
+
+    def share(rows):
+        string, p = repeats_here([np.frombuffer(b, np.uint8) for _, b in rows], length)
+        yield from _start_runs([pa.RecordBatch.from_pydict({"sid": np.array([r[0] for r in rows], np.int64)[string], "p": p})])
+
+    def scan(batches):
+        rows, held, last = [], 0, None
+        for batch in batches:
+            for sid, key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if held >= task_bytes and key != last:
+                    yield from share(rows)
+                    rows, held = [], 0
+                rows.append((sid, body))
+                held, last = held + len(body), key
+        if rows:
+            yield from share(rows)
+
+    return scan
+
+
 NAMED = "sid bigint, p bigint, value bigint, part bigint, before bigint"
 TRIPLE = "sid bigint, p bigint, k0 bigint, k1 bigint, k2 bigint"
 MERGE = "sid bigint, p bigint, side bigint, ranked bigint, k0 bigint, k1 bigint, k2 bigint, r bigint"
@@ -421,10 +505,11 @@ def _remove(batches):
 SPANS = "array<struct<lo:bigint,hi:bigint>>"
 
 
-def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed byte ranges, unmerged)."""
-    scratch = Scratch(docs.sparkSession, "suffixes")
-    gram = length // 2
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "suffixes")
+    gram, least = length // 2, int(spark.conf.get("spark.sql.shuffle.partitions"))
     seen = scratch.keep(screen(docs, id_col, text_col, length, gram), "seen")
     classes = scratch.keep(
         seen.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.any_value("prints").alias("prints")).withColumn("cid", F.monotonically_increasing_id()), "classes"
@@ -433,23 +518,26 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     shared = prints.groupBy("print").count().filter("count > 1").select("print")
     wanted = scratch.keep(prints.join(shared, "print").groupBy("cid").agg(F.collect_set("print").alias("prints")).join(classes.select("cid", "first", "sha"), "cid"), "wanted")
     texts = scratch.keep(docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text")).join(wanted, "first"), "texts")
-    blocks = scratch.keep(cut_blocks(texts, length, gram), "blocks")
-    bodies = scratch.keep(blocks.groupBy("block").agg(F.count("*").alias("copies"), F.any_value("body").alias("body"), F.any_value("n").alias("n")).withColumn("bid", F.monotonically_increasing_id()), "bodies")
-    marks = bodies.select("bid", "body").mapInArrow(_block_prints(length, gram), "bid bigint, prints array<bigint>").select("bid", F.explode("prints").alias("print"))
-    marks = scratch.keep(marks, "marks")
-    again = marks.groupBy("print").count().filter("count > 1").select("print")
-    open_ = marks.join(again, "print").groupBy("bid").agg(F.collect_set("print").alias("prints"))
-    strings = bodies.select("bid", "body").join(open_, "bid").mapInArrow(_open_strings(length, gram), "bid bigint, start bigint, body binary")
+    runs = scratch.keep(cut_runs(texts, length, gram), "runs")
+    size = F.col("n") + length - 1
+    kinds = runs.groupBy("print", "body").agg(F.count("*").alias("copies"), F.min(F.struct("cid", "start")).alias("at"), F.any_value("n").alias("n"), F.any_value("twin").alias("twin"))
+    kinds = scratch.keep(kinds, "kinds")
+    buckets = kinds.groupBy("print").agg(F.count("*").alias("bodies"), F.bool_or("twin").alias("twins"), (F.sum(size) > bucket_bytes).alias("large")).filter("bodies > 1 or twins").select("print", "large")
+    chosen = kinds.join(buckets, "print").groupBy("at.cid").agg(F.collect_list(F.struct("print", "body", "large", F.col("at.start").alias("start"), "n")).alias("runs"))
+    strings = texts.select("cid", "text").join(chosen, "cid").select("text", "runs").mapInArrow(_bodies(length), "print bigint, digest binary, large boolean, body binary")
     strings = scratch.keep(strings.withColumn("sid", F.monotonically_increasing_id()), "strings")
-    scratch.drop("marks")
-
-    found = repeated_starts(strings, length, scratch)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    runs = found.repartition(parts, "sid").mapInArrow(_start_runs, "sid bigint, lo bigint, hi bigint")
-    inner = runs.join(strings.select("sid", "bid", "start"), "sid").select("bid", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
-    whole = bodies.filter("copies > 1").select("bid", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))
-    per_block = whole.unionByName(inner.join(bodies.filter("copies = 1").select("bid"), "bid", "left_semi"))
-    spans = per_block.join(bodies.select("bid", "block"), "bid").join(blocks.select("block", "cid", F.col("start").alias("at")), "block")
+
+    total, large = strings.agg(F.sum(F.length("body")), F.bool_or("large")).first()
+    parts = max(least, -(-(total or 0) // (4 * TASK_BYTES)))
+    inner = strings.filter(~F.col("large")).select("sid", "print", "body").repartition(parts, "print").sortWithinPartitions("print").mapInArrow(_sort_here(length, TASK_BYTES), "sid bigint, lo bigint, hi bigint")
+    if large:
+        found = repeated_starts(strings.filter("large").select("sid", "body"), length, scratch)
+        inner = inner.unionByName(found.repartition(least, "sid").mapInArrow(_start_runs, "sid bigint, lo bigint, hi bigint"))
+    inner = scratch.keep(inner.join(strings.select("sid", "print", F.col("digest").alias("body")), "sid").select("print", "body", "lo", "hi"), "inner")
+    whole = kinds.filter("copies > 1").select("print", "body", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))
+    single = kinds.filter("copies = 1").select("print", "body")
+    per_run = whole.unionByName(inner.join(single, ["print", "body"], "left_semi"))
+    spans = per_run.join(runs.select("print", "body", "cid", F.col("start").alias("at")), ["print", "body"])
     spans = spans.groupBy("cid").agg(F.collect_list(F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi") + length - 1).alias("hi"))).alias("spans"))
     single = classes.filter("copies = 1").select("cid")
     cut = texts.select("cid", "sha", "text").join(single, "cid", "left_semi").join(spans, "cid").select("sha", "text", "spans").mapInArrow(_remove, f"sha binary, n_removed bigint, n_spans bigint, kept_sha256 string, spans {SPANS}")
