@@ -6,8 +6,9 @@ sequence with the least room that still holds it, found in a segment tree over c
 packs what it reads in windows of ``window_tokens``, so nothing is shuffled and memory is bounded; a
 window leaves at most a few sequences partly filled.
 
-A row is one sequence: its id matrix row (little-endian, padded), position ids that restart at each
-piece, cumulative segment lengths, and the document and piece number of each segment.
+A row is one sequence: its id matrix row (little-endian, padded), cumulative segment lengths, the places
+where positions restart at 0 (each piece, and the padding), and the document and piece number of
+each segment.  ``position_ids`` spells the positions out.
 
 Edge cases: null and empty texts have no tokens and no segment; repeated rows are packed each; ties
 go to the earlier piece; an empty table gives no sequence; further columns are ignored.
@@ -74,34 +75,41 @@ def best_fit_decreasing(lengths: list[int], length: int) -> list[list[int]]:
     return sequences
 
 
-COLUMNS = "sequence_id bigint, n_tokens int, doc_ids array<{kind}>, pieces array<int>, cu_seqlens array<int>, input_ids binary, position_ids binary"
+def position_ids(resets: list[int], length: int) -> np.ndarray:
+    """Positions of a sequence that restart at each of ``resets``."""
+    at = np.arange(length)
+    resets = np.asarray(resets)
+    return at - resets[np.searchsorted(resets, at, side="right") - 1]
+
+
+#: Sequences handed over at once.
+BATCH = 64
+COLUMNS = "sequence_id bigint, n_tokens int, doc_ids array<{kind}>, pieces array<int>, cu_seqlens array<int>, position_resets array<int>, input_ids binary"
 
 
 def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, vocabulary: str = VOCABULARY, pad_id: int = 50256, window_tokens: int = 1 << 21) -> DataFrame:
-    """One row per sequence (see the module).  Ids and positions are uint16 where both fit, else uint32."""
+    """One row per sequence (see the module).  Ids are uint16 where they fit, else uint32."""
     own = docs.select(id_col, text_col)
     kind = dict(own.dtypes)[id_col]
 
     def pack(batches):
         encoding, lengths = encoder(vocabulary)
-        dtype = np.dtype("<u2" if max(len(lengths), pad_id + 1, length) <= 1 << 16 else "<u4")
+        dtype = np.dtype("<u2" if max(len(lengths), pad_id + 1) <= 1 << 16 else "<u4")
         prefix = TaskContext.get().partitionId() << 33
         done = 0
 
         def emit(pieces, id_type):
             nonlocal done
             sequences = best_fit_decreasing([len(p[2]) for p in pieces], length)
-            for lo in range(0, len(sequences), 256):
-                block = sequences[lo : lo + 256]
+            for lo in range(0, len(sequences), BATCH):
+                block = sequences[lo : lo + BATCH]
                 ids = np.full((len(block), length), pad_id, dtype)
-                positions = np.zeros((len(block), length), dtype)
                 ends = []
                 for row, members in enumerate(block):
                     at, cuts = 0, [0]
                     for i in members:
                         n = len(pieces[i][2])
                         ids[row, at : at + n] = pieces[i][2]
-                        positions[row, at : at + n] = np.arange(n)
                         at += n
                         cuts.append(at)
                     ends.append(cuts)
@@ -112,10 +120,10 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                         pa.array([[pieces[i][0] for i in m] for m in block], pa.list_(id_type)),
                         pa.array([[pieces[i][1] for i in m] for m in block], pa.list_(pa.int32())),
                         pa.array(ends, pa.list_(pa.int32())),
+                        pa.array([c if c[-1] < length else c[:-1] for c in ends], pa.list_(pa.int32())),
                         pa.array([r.tobytes() for r in ids], pa.binary()),
-                        pa.array([r.tobytes() for r in positions], pa.binary()),
                     ],
-                    names=["sequence_id", "n_tokens", "doc_ids", "pieces", "cu_seqlens", "input_ids", "position_ids"],
+                    names=["sequence_id", "n_tokens", "doc_ids", "pieces", "cu_seqlens", "position_resets", "input_ids"],
                 )
                 done += len(block)
 
