@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from . import decontaminate, licenses, mixing, neardup, packing, quality, suffixes, tokens, urls
+from . import decontaminate, licenses, mixing, neardup, packing, passages, quality, suffixes, tokens, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_license_scan": licenses.op3_license_scan,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_near_duplicates": neardup.op5_near_duplicates,
+    "op6_near_passages": passages.op6_near_passages,
     "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_url_filter": urls.op9_url_filter,
