@@ -5,7 +5,9 @@ with their minimum; empty bins borrow from filled ones by optimal densification.
 band, equal bands a bucket.  Two sets of similarity 0.75 miss all buckets with a chance of
 ``(1 - 0.75 ** ROWS) ** (BINS / ROWS)``, about 1e-8.
 
-Documents with equal sets form one class and enter as one.  In a bucket only the most central
+Documents with equal sets form one class and enter as one.  Shingles that no other candidate has
+bound every similarity of a class from above, so pairs that cannot reach the threshold are left out
+exactly; in a group of heavily edited copies these are nearly all.  In a bucket only the most central
 class (the one with most companions over all its buckets) is paired with the others, so candidates
 grow with the bucket's size, not its square.  Candidates are confirmed on full sets.  Classes of one
 bucket that the stars leave in different components are then compared too: all such pairs if they
@@ -32,8 +34,9 @@ from .scratch import Scratch
 
 SHINGLE, SIMILARITY = 5, 75
 BINS, ROWS = 192, 4
-#: Pairs left over by the stars are all compared once there are at most so many for each bucket entry.
-LEFT_OVER, STARS = 20, 6
+#: Pairs left over by the stars are all weighed once there are at most so many for each bucket entry; they
+#: need so many common buckets (at similarity 0.75 a pair has fewer with a chance of 3e-6).
+LEFT_OVER, STARS, COMMON = 2000, 6, 3
 
 
 @lru_cache(maxsize=4)
@@ -120,18 +123,24 @@ def find_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         signed.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("first"), F.max("n_shingles").alias("n"), F.any_value("bands").alias("bands")).withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
-    entries = classes.select("cid", "n", F.explode("bands").alias("bucket"))
+    entries = classes.select("cid", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("mates")).filter("mates > 1")
     entries = scratch.keep(entries.join(shared, "bucket"), "entries0")
-    degree = entries.groupBy("cid").agg(F.sum("mates").alias("degree"))
-    entries = scratch.keep(entries.drop("mates").join(degree, "cid"), "entries")
-    scratch.drop("entries0")
 
     wanted = scratch.keep(entries.select("cid").distinct().join(classes, "cid").select("cid", "first", "set_key"), "wanted")
     texts = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text__")).join(wanted.select("first").distinct(), "first", "left_semi")
     sets = scratch.keep(full_sets(texts, "first", "text__", size).join(wanted.select("set_key", "cid"), "set_key").select("cid", "shingles"), "sets")
 
-    near = F.least("n", "n_") * 100 >= F.greatest("n", "n_") * similarity
+    # common shingles of two classes are at most those of either that are not its own alone
+    alone = sets.select("cid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("cid").alias("cid")).filter("k = 1").groupBy("cid").agg(F.count("*").alias("alone"))
+    able = wanted.select("cid").join(classes.select("cid", "n"), "cid").join(alone, "cid", "left").select("cid", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), "n").filter(F.col("m") * 100 >= F.col("n") * similarity)
+    able = entries.drop("n").join(scratch.keep(able, "able"), "cid")
+    degree = able.groupBy("cid").agg(F.sum("mates").alias("degree"))
+    entries = scratch.keep(able.drop("mates").join(degree, "cid"), "entries")
+    scratch.drop("entries0")
+
+    most = F.least("m", "m_")
+    near = most * 100 >= (F.col("n") + F.col("n_") - most) * similarity
     inter, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
@@ -140,8 +149,8 @@ def find_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         return scratch.keep(joined.withColumn("inter", inter).filter(F.col("inter") * 100 >= (both - F.col("inter")) * similarity).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), name)
 
     def star(rank, rows: DataFrame) -> DataFrame:
-        centre = rows.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), (-F.col("cid")).alias("cid"), F.col("n"))).alias("c"))
-        found = rows.join(centre, "bucket").select("bucket", "cid", "n", (-F.col("c.cid")).alias("cid_"), F.col("c.n").alias("n_"))
+        centre = rows.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), (-F.col("cid")).alias("cid"), F.col("n"), F.col("m"))).alias("c"))
+        found = rows.join(centre, "bucket").select("cid", "n", "m", (-F.col("c.cid")).alias("cid_"), F.col("c.n").alias("n_"), F.col("c.m").alias("m_"))
         return found.filter((F.col("cid") != F.col("cid_")) & near).select(*_pair("cid", "cid_")).distinct()
 
     links = confirm(star(F.col("degree"), entries), "star0")
@@ -156,8 +165,12 @@ def find_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
             break
         last = k > STARS or total <= LEFT_OVER * max(open_.count(), 10_000)
         if last:
-            other = open_.select("bucket", F.col("cid").alias("cid_"), F.col("n").alias("n_"), F.col("root").alias("root_"))
-            pairs = open_.join(other, "bucket").filter((F.col("root") != F.col("root_")) & (F.col("cid") < F.col("cid_")) & near).select(*_pair("cid", "cid_")).distinct()
+            own = open_.join(classes.select("cid", "bands"), "cid")
+            other = own.select("bucket", *[F.col(c).alias(f"{c}_") for c in ("cid", "n", "m", "root", "bands")])
+            # a pair shows up in its first common bucket only
+            same = F.zip_with("bands", "bands_", lambda x, y: x == y)
+            once = (F.array_position(same, F.lit(True)) == F.col("band") + 1) & (F.size(F.filter(same, lambda x: x)) >= COMMON)
+            pairs = own.join(other, "bucket").filter((F.col("root") != F.col("root_")) & (F.col("cid") < F.col("cid_")) & near & once).select(*_pair("cid", "cid_"))
         else:
             pairs = star(F.xxhash64("cid", F.lit(k)), open_)
         found = confirm(pairs.join(tested, ["a", "b"], "left_anti"), f"star{k}")
