@@ -43,8 +43,9 @@ from . import text as T
 from .scratch import Scratch
 
 LENGTH = 400
-#: Buckets of more bytes are sorted by the whole cluster; a task sorts others of about ``TASK_BYTES``.
-BUCKET_BYTES, TASK_BYTES = 1 << 21, 1 << 20
+#: Buckets of more bytes are sorted by the whole cluster; a task sorts others in shares of about ``TASK_BYTES``,
+#: at most a bucket more.  A byte takes about 60 bytes of arrays.
+BUCKET_BYTES, TASK_BYTES = 1 << 22, 1 << 20
 #: Rows of a task in the sorts.
 TASK_ROWS = 400_000
 
@@ -324,9 +325,9 @@ def repeats_here(bodies: list[np.ndarray], length: int) -> tuple[np.ndarray, np.
     """(string, offset) of all starts whose ``length`` bytes start twice or more in the strings: steps 2 to 4 on arrays."""
     sizes = np.array([len(b) for b in bodies])
     ends = np.cumsum(sizes)
-    end = np.repeat(ends, sizes)
-    p = np.arange(len(end)) - np.repeat(ends - sizes, sizes)
-    char = np.concatenate(bodies).astype(np.int64) + 1
+    end = np.repeat(ends, sizes).astype(np.int32)
+    p = (np.arange(len(end)) - np.repeat(ends - sizes, sizes)).astype(np.int32)
+    char = np.concatenate(bodies).astype(np.int32) + 1
 
     def ahead(values, at, step):
         there = at + step
@@ -343,22 +344,22 @@ def repeats_here(bodies: list[np.ndarray], length: int) -> tuple[np.ndarray, np.
         first = np.flatnonzero(new)
         return order, first[np.cumsum(new) - 1] if len(first) else first
 
-    at = np.flatnonzero(p % 3)
-    names = np.zeros(len(char), np.int64)
+    at = np.flatnonzero(p % 3).astype(np.int32)
+    names = np.zeros(len(char), np.int32)
     names[at] = char[at] << 18 | ahead(char, at, 1) << 9 | ahead(char, at, 2)
     levels, step = [], 3
     while True:
         levels.append((step, names, at))
         own = at[p[at] // step % 3 != 0]
         order, first = ordered(names[own], ahead(names, own, step), ahead(names, own, 2 * step))
-        rank = np.zeros(len(char), np.int64)
+        rank = np.zeros(len(char), np.int32)
         rank[own[order]] = first + 1
         if step * 3 > length:
             break
         names, at, step = rank, own, step * 3
     for step, names, at in reversed(levels):
         digit = p[at] // step % 3
-        merged = np.zeros(len(char), np.int64)
+        merged = np.zeros(len(char), np.int32)
         for drop, keys in ((2, lambda x: (names[x], ahead(rank, x, step))), (1, lambda x: (names[x], ahead(names, x, step), ahead(rank, x, 2 * step)))):
             own = at[digit != drop]
             order, first = ordered(*keys(own))
@@ -379,7 +380,7 @@ def repeats_here(bodies: list[np.ndarray], length: int) -> tuple[np.ndarray, np.
         found[own[1:][same]] = True
         found[own[:-1][same]] = True
     hit = starts[found]
-    return np.searchsorted(ends, hit, side="right"), p[hit]
+    return np.searchsorted(ends, hit, side="right"), p[hit].astype(np.int64)
 
 
 def _sort_here(length: int, task_bytes: int):
