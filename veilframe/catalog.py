@@ -1,4 +1,5 @@
 """All queries of the library by name, with DuckDB SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
