@@ -7,7 +7,7 @@ band, equal bands a bucket.  Two sets of similarity 0.75 miss all buckets with a
 
 Documents with equal sets form one class and enter as one.  Shingles that no other candidate has
 bound every similarity of a class from above, so pairs that cannot reach the threshold are left out
-exactly; in a group of heavily edited copies these are nearly all.  In a bucket only the most central
+exactly; so do hashed bitmaps of the sets, whose unmatched bits are unmatched shingles.  In a bucket only the most central
 class (the one with most companions over all its buckets) is paired with the others, so candidates
 grow with the bucket's size, not its square.  Candidates are confirmed on full sets.  Classes of one
 bucket that the stars leave in different components are then compared too: all such pairs if they
@@ -37,6 +37,8 @@ BINS, ROWS = 192, 4
 #: Pairs left over by the stars are all weighed once there are at most so many for each bucket entry; they
 #: need so many common buckets (at similarity 0.75 a pair has fewer with a chance of 3e-6).
 LEFT_OVER, STARS, COMMON = 2000, 6, 3
+#: Size of a set's hashed bitmap, a power of two from 64 on; the bound is good for sets of up to about so many shingles.
+BITS = 2048
 
 
 @lru_cache(maxsize=4)
@@ -106,9 +108,11 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
         for _, sets in _sets(batches, size):
             for s in sets:
                 if len(s):
-                    yield pa.RecordBatch.from_arrays([pa.array([_key(s)], pa.binary()), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], names=["set_key", "shingles"])
+                    bits = np.zeros(BITS, np.uint8)
+                    bits[(s & np.uint64(BITS - 1)).astype(np.int64)] = 1
+                    yield pa.RecordBatch.from_arrays([pa.array([_key(s)], pa.binary()), pa.array([s.view(np.int64)], pa.list_(pa.int64())), pa.array([np.packbits(bits).view(np.int64)], pa.list_(pa.int64()))], names=["set_key", "shingles", "bits"])
 
-    return docs.select(id_col, text_col).mapInArrow(scan, "set_key binary, shingles array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(scan, "set_key binary, shingles array<bigint>, bits array<bigint>")
 
 
 def _pair(a: str, b: str):
@@ -129,7 +133,7 @@ def find_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     wanted = scratch.keep(entries.select("cid").distinct().join(classes, "cid").select("cid", "first", "set_key"), "wanted")
     texts = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text__")).join(wanted.select("first").distinct(), "first", "left_semi")
-    sets = scratch.keep(full_sets(texts, "first", "text__", size).join(wanted.select("set_key", "cid"), "set_key").select("cid", "shingles"), "sets")
+    sets = scratch.keep(full_sets(texts, "first", "text__", size).join(wanted.select("set_key", "cid"), "set_key").select("cid", "shingles", "bits"), "sets")
 
     # common shingles of two classes are at most those of either that are not its own alone
     alone = sets.select("cid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("cid").alias("cid")).filter("k = 1").groupBy("cid").agg(F.count("*").alias("alone"))
@@ -165,12 +169,17 @@ def find_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
             break
         last = k > STARS or total <= LEFT_OVER * max(open_.count(), 10_000)
         if last:
-            own = open_.join(classes.select("cid", "bands"), "cid")
-            other = own.select("bucket", *[F.col(c).alias(f"{c}_") for c in ("cid", "n", "m", "root", "bands")])
+            words = [f"b{k}" for k in range(BITS // 64)]
+            own = open_.join(classes.select("cid", "bands"), "cid").join(sets.select("cid", *[F.col("bits")[k].alias(w) for k, w in enumerate(words)]), "cid")
+            other = own.select("bucket", *[F.col(c).alias(f"{c}_") for c in ("cid", "n", "m", "root", "bands", *words)])
+            # a bit of one set that the other lacks is a shingle that it lacks; plain columns, as lambdas are not compiled
+            only = lambda a, b: sum((F.bit_count(F.col(w + a).bitwiseAND(F.bitwise_not(F.col(w + b)))) for w in words), F.lit(0))
+            common = F.least(F.col("n") - only("", "_"), F.col("n_") - only("_", ""))
+            like = common * (100 + similarity) >= (F.col("n") + F.col("n_")) * similarity
             # a pair shows up in its first common bucket only
             same = F.zip_with("bands", "bands_", lambda x, y: x == y)
             once = (F.array_position(same, F.lit(True)) == F.col("band") + 1) & (F.size(F.filter(same, lambda x: x)) >= COMMON)
-            pairs = own.join(other, "bucket").filter((F.col("root") != F.col("root_")) & (F.col("cid") < F.col("cid_")) & near & once).select(*_pair("cid", "cid_"))
+            pairs = own.join(other, "bucket").filter((F.col("root") != F.col("root_")) & (F.col("cid") < F.col("cid_")) & near & like & once).select(*_pair("cid", "cid_"))
         else:
             pairs = star(F.xxhash64("cid", F.lit(k)), open_)
         found = confirm(pairs.join(tested, ["a", "b"], "left_anti"), f"star{k}")
