@@ -30,7 +30,7 @@ def read_texts(spark: SparkSession, folder: str, *, most_bytes: int = MOST_BYTES
     """Whole text files as documents: path, filename, format, source, text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     rows = files.filter((N.extension(F.col("path")) == "txt") & (F.col("length") <= most_bytes))
-    return rows.select("path", N.file_of(F.col("path")).alias("filename"), F.lit("txt").alias("format"), F.lit("parsed").alias("source"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return rows.select("path", N.file_of(F.col("path")).alias("filename"), F.lit("txt").alias("format"), F.lit("parsed").alias("source"), F.decode("content", "UTF-8").alias("text"))
 
 
 def read_maps(spark: SparkSession, folder: str, *, strict: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators.detect import detect
 
 def event_windows(events: DataFrame, *, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums by window and type; as a stream, events later than ``late`` are dropped."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, *, files_per_trigger: int = 16) -> DataFrame:
