@@ -104,7 +104,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], steps: int = 100, tolerance
 
     Abstaining says nothing about the class.  At the start any bad vote makes a text likely bad.
     """
-    m = len(patterns[0][0]) if patterns else 0
+    m = len(patterns[0][0]) if patterns else len(rules())
     total = sum(n for _, n in patterns)
     belief = [0.05 if min(p) < 0 else 0.95 if max(p) > 0 else 0.5 for p, _ in patterns]
     model = {"prior": 0.9, "good": [{-1: 0.05, 1: 0.95}] * m, "bad": [{-1: 0.5, 1: 0.5}] * m}
