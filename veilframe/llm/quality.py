@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -133,14 +135,15 @@ def score(model: dict, votes: dict[str, Column]) -> Column:
 def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, least_words: int = 50, repeat_percent: int = 50) -> DataFrame:
     """Id and text of the documents with their measures, base_failed, quality (posterior) and kept."""
     own = docs.select(F.col(id_col), F.col(text_col))
-    return _judge(with_measures(own, text_col), with_measures(own, text_col), threshold, least_words, repeat_percent)
+    measured = Scratch(docs.sparkSession, "quality").keep(with_measures(own, text_col), "rows")
+    return _judge(measured, measured, threshold, least_words, repeat_percent)
 
 
 def keep_quality(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5, least_words: int = 50, repeat_percent: int = 50) -> DataFrame:
     """The kept documents with all their columns, whatever their names."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row__"), F.col(text_col).alias("text__"))
-    judged = _judge(with_measures(own, "text__"), with_measures(own.select("text__"), "text__"), threshold, least_words, repeat_percent)
-    return judged.filter("kept").select("row__.*")
+    measured = Scratch(docs.sparkSession, "quality").keep(with_measures(own, "text__").drop("text__"), "rows")  # measuring costs more than writing
+    return _judge(measured, measured, threshold, least_words, repeat_percent).filter("kept").select("row__.*")
 
 
 def _judge(measured: DataFrame, counted: DataFrame, threshold: float, least_words: int, repeat_percent: int) -> DataFrame:
@@ -152,8 +155,6 @@ def _judge(measured: DataFrame, counted: DataFrame, threshold: float, least_word
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
-    from .scratch import Scratch
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     measured = Scratch(spark, "quality").keep(with_measures(docs).drop("text"), "measures")  # the texts are read once
     out = _judge(measured, measured, 0.5, 50, 50)
