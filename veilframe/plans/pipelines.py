@@ -8,10 +8,11 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import ACTIONS, extension
+from ..functions import names as N
 from ..operators import anonymize as A
 from ..operators import maplink, restore
 from ..operators.detect import detect
+from ..operators.filenames import anonymize_name
 from ..operators.spans import accepted, case_numbering, normalize, reject_excluded
 
 
@@ -50,12 +51,37 @@ def restore_files(files: DataFrame, maps: DataFrame, entries: DataFrame, *, by:
     found = chosen.filter("choice = 'found'").select("file_id", F.col("map_ids")[0].alias("map_id")).join(own, "map_id").select("file_id", "entries")
     back = restore.deanonymize(files, found, id_col="file_id", text_col="text").withColumnRenamed("original_text", "restored_text")
     warned = restore.restore_warnings(files.join(back.select("file_id", "warnings"), "file_id"), found, id_col="file_id", warnings_col="warnings")
-    outcome = F.when(~extension(F.col("file_name")).isin(*ACTIONS["restore"]), "unsupported").when(F.col("choice") == "none", "no_map").when(F.col("choice") == "ambiguous", "ambiguous_map").otherwise("ok")
+    outcome = F.when(~N.extension(F.col("file_name")).isin(*N.ACTIONS["restore"]), "unsupported").when(F.col("choice") == "none", "no_map").when(F.col("choice") == "ambiguous", "ambiguous_map").otherwise("ok")
     rows = chosen.select("file_id", outcome.alias("outcome")).join(back.select("file_id", "restored_text"), "file_id").join(warned.select("file_id", "message"), "file_id")
     ok = F.col("outcome") == "ok"
     return rows.select("file_id", "outcome", F.when(ok, F.col("restored_text")).alias("restored_text"), F.when(ok, F.col("message")).alias("message"))
 
 
+def file_action(files: DataFrame, action: str, *, categories: Iterable[str] | None = None, excluded: Iterable[str] = (), rules: Iterable[tuple[str, str]] = ()) -> DataFrame:
+    """(file_id, outcome, output, contents) of the actions on texts: anonymize, markdown (as .md) and ocr (the text as it is).
+
+    Names lose the values that the map replaces; unsupported extensions give no output.  Restoring needs maps: ``restore_files``.
+    """
+    fits = N.action_applies(F.lit(action), F.array("file_name"))
+    rows = files.withColumn("fits", fits)
+    if action == "ocr":
+        name = F.concat(N.base_of(F.col("file_name")), F.lit("_text.txt"))
+        return rows.select("file_id", F.when(F.col("fits"), "ok").otherwise("unsupported").alias("outcome"), F.when(F.col("fits"), name).alias("output"), F.when(F.col("fits"), F.col("text")).alias("contents"))
+    done = anonymize_documents(rows.filter("fits"), id_col="file_id", categories=categories, excluded=excluded, rules=rules)
+    ext = F.lit("md") if action == "markdown" else N.extension(F.col("file_name"))
+    rows = rows.join(done.texts.select("file_id", "anonymized_text"), "file_id", "left").join(done.maps.select("file_id", "entries"), "file_id", "left")
+    name = N.result_name(anonymize_name(N.safe_base_name(F.col("file_name")), F.col("entries")), ext)
+    return rows.select("file_id", F.when(F.col("fits"), "ok").otherwise("unsupported").alias("outcome"), F.when(F.col("fits"), name).alias("output"), F.when(F.col("fits"), F.col("anonymized_text")).alias("contents"))
+
+
+def restore_clipboard(texts: DataFrame, maps: DataFrame, entries: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """(file_id, outcome, restored_text, message): as for files, without a name to go by; blank texts are ``empty``."""
+    blank = F.coalesce(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit("")) == ""
+    named = texts.withColumn("file_name", F.lit("clipboard.txt"))
+    out = restore_files(named, maps, entries, by=by).join(texts.select("file_id", blank.alias("blank")), "file_id")
+    return out.select("file_id", F.when(F.col("blank"), "empty").otherwise(F.col("outcome")).alias("outcome"), "restored_text", "message")
+
+
 def clipboard_outcome(docs: DataFrame, done: Anonymized, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(outcome, n_replaced): empty, nothing_found or ok."""
     rows = docs.select(id_col, F.coalesce(F.trim(F.regexp_replace(text_col, r"\s+", " ")), F.lit("")).alias("t")).join(done.texts.select(id_col, "n_replaced"), id_col)

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as M
 from ..functions import names as N
-from ..functions.categories import categories, values_sql
+from ..functions.categories import categories, category_class, category_tone, values_sql
 from ..operators import anonymize as A
 from ..operators import batch, crypto, filenames, history, maplink, report, restore, review, rules, segments, spans
 from ..operators.detect import DETECTORS, detect, detect_native
+from ..sources.files import excluded_categories, spread
 from ..streaming.streams import event_windows
 from . import pipelines as P
 
@@ -40,9 +41,7 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
-    """Documents dealt evenly, as a file may be one row group; detection is bound by CPU."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
-    return docs.repartition(max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()), "doc_id")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars"), key="doc_id")
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -638,6 +637,89 @@ def map_encrypt_roundtrip(spark, sf_dir):
     return crypto.decrypt_maps(rows, "password").select("source", crypto.is_encrypted(F.col("encrypted")).alias("is_encrypted"), (F.col("decrypted") == F.col("json")).alias("equal"))
 
 
+# Texts of files, notices and stores
+
+
+@query("SELECT doc_id, lang || '+' || source AS warnings, CASE WHEN doc_id % 2 = 0 THEN 'XMP metadata, ' || lang ELSE 'GPS position' END AS labels, CASE WHEN doc_id % 2 = 0 THEN 'Faces painted over: ' || doc_id || '. Personal data on pictures was painted over.' END AS notice FROM documents")
+def notice_messages(spark, sf_dir):
+    docs, even = table(spark, sf_dir, "documents"), F.col("doc_id") % 2 == 0
+    header = F.concat(F.lit("%5B%22"), "lang", F.lit("+"), "source", F.lit("%22%2C7%5D"))
+    codes = M.split_codes(F.when(even, F.concat(F.lit("xmp,,pdf_xmp,"), "lang")).otherwise("gps"))
+    pictures = F.when(even, F.array(F.concat(F.lit("faces_masked:"), F.col("doc_id").cast("string")), F.lit("pictures_redacted"), F.lit("unknown"))).otherwise(F.array(F.lit("unknown")))
+    return docs.select("doc_id", F.array_join(M.parse_warnings(header), "|").alias("warnings"), F.array_join(M.metadata_labels(codes), ", ").alias("labels"), M.picture_notice(pictures).alias("notice"))
+
+
+@query("SELECT doc_id, 'Pages without text that was read: ' || array_to_string(list_transform(range(1, least(10, doc_id % 15) + 1), lambda x: CAST(x AS VARCHAR)), ', ') || CASE WHEN doc_id % 15 > 10 THEN ' and ' || (doc_id % 15 - 10) || ' more' ELSE '' END AS message FROM documents WHERE doc_id % 15 > 0")
+def unread_pages(spark, sf_dir):
+    pages = F.filter(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 15), lambda x: x > 0)
+    return table(spark, sf_dir, "documents").select("doc_id", M.unread_pages(pages).alias("message")).filter("message IS NOT NULL")
+
+
+MAP_JSON = """CASE doc_id % 5 WHEN 0 THEN '{{"entries":[{0}]}}' WHEN 1 THEN '{{"map":{{"entries":[{0},{0}]}}}}' WHEN 2 THEN '{{"entries":[{{"token":1,"canonical_text":"x","category":"PERSON"}}]}}' WHEN 3 THEN 'not json' ELSE '[]' END""".format('{"token":"[OSOBA_1]","canonical_text":"x","category":"PERSON"}')
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS strict, CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 END AS lenient FROM documents")
+def parse_maps(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(MAP_JSON).alias("json"))
+    strict = maplink.parse_maps(rows).select("doc_id", "json", F.size("entries").alias("strict"))
+    n = lambda c: F.when(F.col(c) >= 0, F.col(c)).alias(c)
+    return maplink.parse_maps(strict, strict=False).select("doc_id", n("strict"), F.when(F.col("entries").isNotNull(), F.size("entries")).alias("lenient"))
+
+
+@query("SELECT source, doc_id AS map_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE 1 END, CASE WHEN lang = 'en' THEN n_chars ELSE -n_chars END, doc_id) AS recency_rank FROM documents")
+def map_candidates(spark, sf_dir):
+    """English documents stand for maps beside the file, others for remembered ones."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("file_id"), F.col("doc_id").alias("map_id"), "lang", "n_chars")
+    adjacent = docs.filter("lang = 'en'").select("file_id", "map_id", F.col("n_chars").alias("idx"))
+    remembered = docs.filter("lang <> 'en'").select("file_id", "map_id", F.col("n_chars").alias("saved_at"))
+    return maplink.candidates(adjacent, remembered).select(F.col("file_id").alias("source"), "map_id", F.col("recency_rank").cast("long"))
+
+
+@query("WITH dim(category, ord, prefix, tone) AS (VALUES " + values_sql() + ") SELECT category, CAST(ord AS INTEGER) AS ord FROM dim WHERE category IN ('EMAIL', 'PERSON', 'DATE')")
+def load_exclusions(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, '["EMAIL","UNKNOWN","DATE"]').when(F.col("doc_id") % 3 == 0, '["PERSON","EMAIL"]').otherwise("broken").alias("json"))
+    return excluded_categories(rows)
+
+
+@query("WITH dim(category, ord, prefix, tone) AS (VALUES " + values_sql() + ") SELECT category, tone, CASE WHEN category = 'PUBLIC_INSTITUTION' THEN 'highlight--public-institution' ELSE 'highlight--' || tone END AS css_class FROM dim UNION ALL SELECT 'UNKNOWN', 'gray', 'highlight--gray'")
+def category_style(spark, sf_dir):
+    names = categories(spark).select("category").unionByName(spark.createDataFrame([("UNKNOWN",)], "category string"))
+    return names.select("category", category_tone(F.col("category")).alias("tone"), category_class(F.col("category")).alias("css_class"))
+
+
+@query(f"{SPANS_SQL} SELECT doc_id, gid AS entity_group_id, CASE WHEN n_accepted > 0 THEN 'rejected' ELSE 'accepted' END AS next_status FROM grp")
+def next_status(spark, sf_dir):
+    groups = spans.entity_groups(reviewed(documents(spark, sf_dir)))
+    return groups.select("doc_id", "entity_group_id", M.next_status(F.col("n_accepted")).alias("next_status"))
+
+
+@query(f"{SPANS_SQL} SELECT doc_id, id, CASE WHEN idx = 0 THEN 'rejected' ELSE status END AS status, CASE WHEN idx = 0 THEN 'manual-group-' || id ELSE gid END AS entity_group_id FROM rev")
+def first_span_apart(spark, sf_dir):
+    """The first span of each document is rejected and gets a group of its own."""
+    own = review.set_entity_status(reviewed(documents(spark, sf_dir)), F.col("idx") == 0, "rejected")
+    return review.create_group(own, F.col("idx") == 0).select("doc_id", "id", "status", "entity_group_id")
+
+
+@query(BLOCKS_SQL + ", last AS (SELECT doc_id, max(idx) // 32 AS l FROM blocks GROUP BY doc_id) SELECT doc_id, idx, start FROM blocks JOIN last USING (doc_id) WHERE idx // 32 = least(1, l)")
+def second_page(spark, sf_dir):
+    """Blocks of each document's second page, or of its only one."""
+    return segments.page_of(segments.split_blocks(_two_pages(documents(spark, sf_dir))), 1).select("doc_id", "idx", "start")
+
+
+@query("SELECT doc_id, least(n_chars % 97, n_chars % 89) AS start, greatest(n_chars % 97, n_chars % 89) AS \"end\" FROM documents WHERE n_chars % 97 <> n_chars % 89")
+def selection_range(spark, sf_dir):
+    chosen = segments.selection_range(F.col("n_chars") % 97, F.col("n_chars") % 89)
+    return table(spark, sf_dir, "documents").select("doc_id", chosen.alias("r")).filter("r IS NOT NULL").select("doc_id", "r.start", "r.end")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unsupported' ELSE 'ok' END AS outcome, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN 'doc ' || doc_id || '_anon.txt' ELSE 'doc ' || doc_id || '_anon.docx' END AS output FROM documents")
+def file_actions(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    ext = F.element_at(F.array(F.lit(".exe"), F.lit(".txt"), F.lit(".docx")), (F.col("doc_id") % 3 + 1).cast("int"))
+    files = docs.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string"), ext).alias("file_name"), "text")
+    return P.file_action(files, "anonymize", categories=HERE).select(F.col("file_id").alias("doc_id"), "outcome", "output")
+
+
 # Extra
 
 

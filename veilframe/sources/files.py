@@ -62,6 +62,13 @@ def prompts(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
     return spark.createDataFrame(list(rows), "id string, title string, category string, description string, body string, tags array<string>, version string")
 
 
+def spread(docs: DataFrame, *, key: str | None = None, task_bytes: int = 64 << 20) -> DataFrame:
+    """Small inputs dealt to all cores, as a file of one row group is one task; large ones stay as their files are split."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.repartition(cores, *([key] if key else [])) if size < cores * task_bytes else docs
+
+
 def nonblank(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return texts.filter(F.trim(F.regexp_replace(text_col, r"\s+", " ")) != "")
 
