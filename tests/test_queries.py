@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,7 +22,10 @@ def duck():
 
 def rows(frame):
     def plain(v):
-        return round(float(v), 6) if isinstance(v, float) else None if v != v or v is None else v
+        if v is None or v is pd.NA or (isinstance(v, float) and v != v):
+            return None
+        # pandas turns integers with nulls into floats
+        return (int(v) if float(v).is_integer() else round(float(v), 6)) if isinstance(v, float) else v
 
     names = sorted(frame.columns)
     return sorted((tuple(plain(v) for v in r) for r in frame[names].itertuples(index=False)), key=repr)
