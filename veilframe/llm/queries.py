@@ -17,5 +17,6 @@ QUERIES = {
 
 ORACLES = {
     "op5_near_duplicates": neardup.SQL,
+    "op7_suffix_dedup": suffixes.SQL,
     "op8_decontaminate": decontaminate.SQL,
 }

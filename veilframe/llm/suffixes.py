@@ -554,3 +554,18 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return find_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
+#: Exact up to MD5: all strings of 400 bytes, counted.
+SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT doc_id, i, md5(b[i:i + 399]) AS k FROM (SELECT doc_id, b, unnest(range(1, greatest(octet_length(b) - 398, 1))) AS i FROM d)),
+r AS (SELECT doc_id, i FROM s JOIN (SELECT k FROM s GROUP BY k HAVING count(*) > 1) USING (k)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM r)),
+runs AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM g GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, lo, hi, lag(hi, 1, 1) OVER (PARTITION BY doc_id ORDER BY lo) AS o FROM runs),
+per AS (SELECT doc_id, sum(hi - lo) AS n, count(*) AS spans, string_agg(hex(b[o:lo - 1]), '' ORDER BY lo) AS kept, max(hi) AS last FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || hex(b[coalesce(last, 1):]))) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id)
+"""
