@@ -308,6 +308,27 @@ def test_compact_windows():
         assert got == {*grow(0, n // 2), *grow(n // 2, n)}
 
 
+def test_candidate_stretches():
+    rng = random.Random(15)
+    for _ in range(60):
+        rows = [(rng.randrange(2), rng.randrange(4), a, a + rng.randint(3, 25), rng.choice((0, 5, 40))) for a in (rng.randrange(60) for _ in range(rng.randrange(12)))]
+        plain = set()
+        for pair, shifts in ((p, s) for p in (0, 1) for s in ((0, 5), (40,))):
+            own = [r for r in rows if r[0] == pair and r[4] in shifts]
+            if own:
+                depth = [len({r[1] for r in own if r[2] <= x < r[3]}) >= passages.VOTES for x in range(100)]
+                low, high, x = min(r[4] for r in own), max(r[4] for r in own), 0
+                while x < 100:
+                    if depth[x]:
+                        end = next(y for y in range(x, 101) if y == 100 or not depth[y])
+                        if end - x >= 6:
+                            plain.add((pair, x, end, x + low, end + high))
+                        x = end
+                    x += 1
+        columns = [np.array(c) for c in zip(*rows)] if rows else [np.empty(0, int)] * 5
+        assert set(zip(*(c.tolist() for c in passages.candidate_stretches(*columns, 6)))) == plain
+
+
 def test_finds_planted_passages(spark):
     rng = random.Random(10)
     text = lambda n: [f"t{rng.randrange(100_000)}" for _ in range(n)]
