@@ -53,8 +53,9 @@ def map_scores(files: DataFrame, entries: DataFrame, *, by: tuple[str, ...] = ()
     forms = entries.filter(F.col("fake_forms").isNotNull()).select("map_id", "token", *by, F.explode(F.map_keys("fake_forms")).alias("form"))
     forms = forms.withColumn("word", F.regexp_extract("form", word, 0)).filter("word <> ''")
     words = files.select("file_id", "text", *by, F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(word), F.lit(0)))).alias("w"))
-    # a form may start inside a word of the text, so its first word need only end one
-    near = words.withColumn("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substr(F.col("w"), i, F.length("w")))))
+    # a form may start inside a word of the text, so its first word need only end one; there are few lengths of first words
+    sizes = F.broadcast(forms.select(F.length("word").alias("size")).distinct())
+    near = words.join(sizes, F.length("w") >= F.col("size")).select("file_id", "text", *by, F.expr("right(w, size)").alias("word")).distinct()
     by_form = near.join(forms, ["word", *by]).filter(F.contains(F.col("text"), F.col("form"))).select("file_id", "map_id", "token")
     return by_token.unionByName(by_form).distinct().groupBy("file_id", "map_id").agg(F.count("*").alias("score"))
 

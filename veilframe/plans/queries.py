@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,8 @@ def reviewed(docs: DataFrame) -> DataFrame:
 
 
 def done(docs: DataFrame) -> P.Anonymized:
-    return P.from_spans(docs, reviewed(docs))
+    """Spans are kept, as several outputs need them and they are far smaller than the texts they cost a scan of."""
+    return P.from_spans(docs, reviewed(docs).persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def _pattern(category: str) -> str:
