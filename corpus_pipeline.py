@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veilframe.llm import decontaminate, mixing, neardup, packing, quality
-from veilframe.llm.scratch import Scratch
+from veilframe.llm.scratch import MADE, Scratch, release
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        before = len(MADE)
         docs = scratch.keep(stage(spark, docs, sf_dir), f"stage{k}")
+        release(spark, before)  # what the stage needed on its way
         if k:
             scratch.drop(f"stage{k - 1}")
     return docs

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder, as in tests on one machine.
 FALLBACK = "/tmp/veilframe-checkpoints"
+#: Folders that this process has made, in order.
+MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +26,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        MADE.append(self.root)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -31,7 +34,17 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for name in names:
-            path = hadoop(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Frees the folders made since ``len(MADE)`` was ``since``; only once no result that reads them is wanted any more."""
+    for root in MADE[since:]:
+        _delete(spark, root)
+    del MADE[since:]
