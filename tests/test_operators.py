@@ -370,3 +370,32 @@ def test_pseudonyms(spark):
     got = A.pseudonymize(P.anonymize_documents(docs).tokens).orderBy("start").collect()
     assert got[0]["label"] == "[OSOBA_1]" and got[0]["fake_forms"] == {got[0]["token"]: "Jan Kot"} and got[0]["token"] != "Jan Kot"
     assert len(got[1]["token"]) == len("+48 600 700 800")
+
+
+def test_invariants_on_random_spans(spark):
+    """Restoring gives the text back, offsets fit both sides, and segments add up to their texts."""
+    rng = random.Random(21)
+    texts, rows = [], []
+    for doc in range(60):
+        text = "".join(rng.choice("ab ż\n😀") for _ in range(rng.randrange(80)))
+        cuts = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, 2 * rng.randrange(6))))
+        texts.append((doc, text))
+        rows += [(doc, a, b, text[a:b], rng.choice(["PERSON", "EMAIL", "DATE", "CUSTOM"]), "passed") for a, b in zip(cuts[::2], cuts[1::2])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    out = P.from_spans(docs, spans.reject_excluded(spans.normalize(spark.createDataFrame(rows, SPAN)), ["DATE"]))
+    plain, hidden = dict(texts), {r["doc_id"]: r["anonymized_text"] for r in out.texts.collect()}
+    assert {r["doc_id"]: r["original_text"] for r in restore.deanonymize(out.texts, out.maps).collect()} == plain
+    values = {(r["doc_id"], r["token"]): r["canonical_text"] for r in out.entries.collect()}
+    for r in out.offsets.collect():
+        assert hidden[r["doc_id"]][r["anonymized_start"] : r["anonymized_end"]] == r["token"]
+        assert plain[r["doc_id"]][r["original_start"] : r["original_end"]] == values[r["doc_id"], r["token"]]
+    for segs, whole in (
+        (segments.comparison_segments(docs, out.offsets, "original"), plain),
+        (segments.comparison_segments(out.texts, out.offsets, "anonymized", text_col="anonymized_text"), hidden),
+        (restore.restored_segments(out.texts, out.entries), plain),
+    ):
+        got = {}
+        for r in segs.orderBy("doc_id", "pos").collect():
+            assert r["start"] == len(got.get(r["doc_id"], ""))
+            got[r["doc_id"]] = got.get(r["doc_id"], "") + r["text"]
+        assert got == {k: t for k, t in whole.items() if t}
