@@ -22,3 +22,32 @@ def test_verify_keeps_wide_gaps():
         assert found[:4] == (0, n, 0, n) and abs(found[4] - (n - edited) / (n + edited)) < 1e-9
         stray = lambda x, k: np.concatenate([[7000], np.arange(k, k + 11), x, np.arange(k + 20, k + 31), [7001]])
         assert [f[:4] for f in passages.verify(stray(own, 5000), stray(other, 6000), 46, 75)] == [(12, 12 + n, 12, 12 + n)]
+
+
+def test_every_place_of_a_tied_minimum():
+    """All places of a minimum have a window; in periodic stretches one for each ``least`` tokens is enough."""
+    rng = np.random.default_rng(1)
+    copy = rng.integers(10, 1 << 40, 20).astype(np.uint64)
+    copy[7] = 1
+    values = np.concatenate([np.concatenate([copy, rng.integers(10, 1 << 40, k).astype(np.uint64)]) for k in (3, 8, 5, 2)])
+    l, c, r, inner = passages.every_window(values, np.array([0, len(values)]), 15)
+    assert sorted(c[values[c] == 1].tolist()) == np.flatnonzero(values == 1).tolist() and not inner.any()
+    for period in (1, 4):
+        values = np.tile(np.arange(1, period + 1, dtype=np.uint64), 400 // period)
+        l, c, r, inner = passages.every_window(values, np.array([0, 400]), 15)
+        places = np.sort(c[(l == 0) & (r == 399)])
+        assert places[0] == 0 and places[-1] == 400 - period and np.diff(places).max() <= 15 and len(places) <= 402 // (15 - period) + 2
+
+
+def test_middle_copies_and_other_places(spark):
+    """Copies of a passage close together are all reported, in the document that has them and in a longer one."""
+    rng = random.Random(21)
+    text = lambda n: [f"m{rng.randrange(100_000)}" for _ in range(n)]
+    docs = []
+    for _ in range(8):
+        passage = text(50)
+        docs += [text(20) + passage + text(20), [w for _ in range(3) for w in (*passage, *text(1))]]
+    rows = passages.find_passages(frame(spark, [" ".join(d) for d in docs])).collect()
+    spans = {(r["doc_id"], r["start"], r["end"]) for r in rows}
+    lost = [(d, k) for d in range(1, 16, 2) for k in range(3) if not any(i == d and a <= 51 * k and 51 * k + 50 <= b for i, a, b in spans)]
+    assert not lost
