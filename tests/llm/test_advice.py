@@ -51,3 +51,19 @@ def test_middle_copies_and_other_places(spark):
     spans = {(r["doc_id"], r["start"], r["end"]) for r in rows}
     lost = [(d, k) for d in range(1, 16, 2) for k in range(3) if not any(i == d and a <= 51 * k and 51 * k + 50 <= b for i, a, b in spans)]
     assert not lost
+
+
+def test_hot_phrases_hide_no_passage(spark):
+    """Documents that share a passage of stock phrases find each other among lower and higher ids that hold a phrase each."""
+    rng = random.Random(31)
+    text = lambda n: [f"h{rng.randrange(100_000)}" for _ in range(n)]
+    docs, wanted = [text(60) for _ in range(3)], []
+    for _ in range(6):
+        phrases = [text(10) for _ in range(5)]
+        single = lambda: [text(40) + p + text(40) for p in phrases for _ in range(2)]
+        passage = sum(phrases, [])
+        low, high = single(), single()
+        wanted.append((len(docs) + len(low), len(docs) + len(low) + 1))
+        docs += [*low, text(30) + passage + text(30), text(45) + passage + text(20), *high]
+    found = {frozenset((r["doc_id"], r["source_doc_id"])) for r in passages.find_passages(frame(spark, [" ".join(d) for d in docs])).collect()}
+    assert found == set(map(frozenset, wanted))
