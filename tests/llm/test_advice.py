@@ -1,10 +1,11 @@
 """Places where an operator did less than its whole job."""
 
+import hashlib
 import random
 
 import numpy as np
 
-from veilframe.llm import passages
+from veilframe.llm import passages, suffixes
 
 
 def frame(spark, texts):
@@ -67,3 +68,16 @@ def test_hot_phrases_hide_no_passage(spark):
         docs += [*low, text(30) + passage + text(30), text(45) + passage + text(20), *high]
     found = {frozenset((r["doc_id"], r["source_doc_id"])) for r in passages.find_passages(frame(spark, [" ".join(d) for d in docs])).collect()}
     assert found == set(map(frozenset, wanted))
+
+
+def test_repeats_without_or_under_one_id(spark):
+    """Texts under null ids or one id lose what they share, and none is taken for another."""
+    rng = random.Random(41)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    one, two = text(60), text(60)
+    parts = [(None, text(30), one, text(20)), (1, text(10), one, text(40)), (2, text(25), two, text(15)), (2, text(35), two, text(5)), (3, text(80), "", "")]
+    docs = spark.createDataFrame([(i, a + b + c) for i, a, b, c in parts], "doc_id long, text string")
+    rows = suffixes.find_repeats(docs, length=40).collect()
+    wanted = [(i, len(a + b + c), len(b), int(b != ""), hashlib.sha256((a + c).encode()).hexdigest()) for i, a, b, c in parts]
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows), key=key) == sorted(wanted, key=key)

@@ -23,7 +23,8 @@ arrays; larger ones, such as a passage in very many surroundings, are sorted by
 every sort is then a range partitioning of flat rows, and each step a table in the shared folder.
 
 Edge cases: null reads as empty; shorter texts lose nothing; a text that exists twice goes as a whole
-if it has ``length`` bytes; repeated rows are copies; an empty table gives an empty result; further
+if it has ``length`` bytes; repeated rows are copies; texts count by their content, so ids may be null or name
+several texts; an empty table gives an empty result; further
 columns are ignored.
 """
 
@@ -120,9 +121,7 @@ def cut_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
         width = length - gram + 1
         for batch in batches:
             at = batch.schema.get_field_index
-            for cid, raw, sha, prints in zip(batch.column(at("cid")).to_pylist(), _texts(batch.column(at("text"))), batch.column(at("sha")).to_pylist(), batch.column(at("prints"))):
-                if hashlib.sha256(raw).digest() != sha:
-                    continue  # another text under the same id
+            for cid, raw, prints in zip(batch.column(at("cid")).to_pylist(), _texts(batch.column(at("text"))), batch.column(at("prints"))):
                 least, hashes = select(raw, length, gram)[0], gram_hashes(raw, gram)
                 ends = np.flatnonzero(np.concatenate([least[1:] != least[:-1], [True]])) + 1
                 starts = np.concatenate([[0], ends[:-1]])
@@ -518,7 +517,9 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     prints = classes.filter(F.col("prints").isNotNull()).select("cid", F.explode("prints").alias("print"))
     shared = prints.groupBy("print").count().filter("count > 1").select("print")
     wanted = scratch.keep(prints.join(shared, "print").groupBy("cid").agg(F.collect_set("print").alias("prints")).join(classes.select("cid", "first", "sha"), "cid"), "wanted")
-    texts = scratch.keep(docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text")).join(wanted, "first"), "texts")
+    # by content, as an id may be null or name several texts; of copies those under the least id
+    rows = docs.select(F.col(id_col).alias("id__"), F.col(text_col).alias("text"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("sha"))
+    texts = scratch.keep(rows.join(wanted, "sha").filter(F.col("id__").eqNullSafe(F.col("first"))).drop("id__"), "texts")
     runs = scratch.keep(cut_runs(texts, length, gram), "runs")
     size = F.col("n") + length - 1
     kinds = runs.groupBy("print", "body").agg(F.count("*").alias("copies"), F.min(F.struct("cid", "start")).alias("at"), F.any_value("n").alias("n"), F.any_value("twin").alias("twin"))
