@@ -1,19 +1,23 @@
 """Licence scans by sentence rules.
 
 A text is cut into fragments at line ends and at sentence ends followed by white space.  Runs of
-fragments whose normalised words form a known licence sentence become that sentence's identifier, so
-a sentence wrapped over lines is found too; other fragments become 0.  Licence rules are ordered
+fragments whose words, ASCII letters and digits in lower case, form a known licence sentence become that
+sentence's identifier, so a sentence wrapped over lines is found too; other fragments become 0.  Licence rules are ordered
 identifier sequences: at each identifier the first rule that fits the following ones without
 a gap wins, and the scan goes on behind it.
 
+Sentences are found by a trie of their words, so a scan takes time in proportion to the text, whatever runs of
+dots, dashes or blanks it holds; texts without the first two words of any sentence are not cut at all.
+
 Edge cases: null and empty texts hold no licence; a text may hold several and the same one twice;
-repeated rows are scanned each; further columns are ignored.
+repeated rows are scanned each; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -36,6 +40,29 @@ SENTENCES = {
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl-see": "See the GNU General Public License for more details.",
+    "gpl2-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl-received": "You should have received a copy of the GNU General Public License along with this program.",
+    "lgpl21-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-see": "See the GNU Lesser General Public License for more details.",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-see": "See the GNU Affero General Public License for more details.",
+    "mpl2-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl2-copy-https": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-grant-and": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "isc-as-is": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "mit-as-is": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "mit-liable": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-as-is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-liable": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "boost-grant": "Distributed under the Boost Software License, Version 1.0.",
+    "epl2-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "cc-by-nc4-short": "Licensed under CC BY-NC 4.0.",
     "cc-by4-short": "Licensed under CC BY 4.0.",
     "cc-by-sa4-short": "Licensed under CC BY-SA 4.0.",
@@ -43,17 +70,46 @@ SENTENCES = {
     "all-rights": "All rights reserved.",
 }
 
+#: Identifiers that a line ``SPDX-License-Identifier: ...`` may name.
+SPDX = ("Apache-2.0", "MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+SENTENCES |= {f"spdx-{name}": f"SPDX-License-Identifier: {name}" for name in SPDX}
+
 #: Licence and its sentences in order; earlier rules win.
 RULES = (
     ("Apache-2.0", ("apache-grant", "apache-copy", "apache-as-is", "apache-see")),
     ("Apache-2.0", ("apache-grant",)),
     ("Apache-2.0", ("apache-short",)),
+    ("MIT", ("mit-grant", "mit-notice", "mit-as-is", "mit-liable")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("MIT", ("mit-grant",)),
     ("MIT", ("mit-short",)),
     ("MIT", ("mit-licensed",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is", "bsd-liable")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liable")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("ISC", ("isc-grant", "isc-as-is")),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-grant-and", "isc-as-is")),
+    ("ISC", ("isc-grant-and",)),
+    ("0BSD", ("0bsd-grant", "isc-as-is")),
+    ("0BSD", ("0bsd-grant",)),
+    ("GPL-2.0-or-later", ("gpl2-later", "gpl-hope", "gpl-see")),
+    ("GPL-2.0-or-later", ("gpl2-later",)),
+    ("GPL-2.0-only", ("gpl2-only",)),
+    ("LGPL-2.1-or-later", ("lgpl21-later", "lgpl-hope", "lgpl-see")),
+    ("LGPL-2.1-or-later", ("lgpl21-later",)),
+    ("LGPL-3.0-or-later", ("lgpl3-later", "gpl-hope", "lgpl-see")),
+    ("LGPL-3.0-or-later", ("lgpl3-later",)),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl-hope", "agpl-see")),
+    ("AGPL-3.0-or-later", ("agpl-free",)),
+    ("MPL-2.0", ("mpl2-subject", "mpl2-copy")),
+    ("MPL-2.0", ("mpl2-subject", "mpl2-copy-https")),
+    ("MPL-2.0", ("mpl2-subject",)),
+    ("Unlicense", ("unlicense",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("EPL-2.0", ("epl2-terms",)),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-see", "gpl-received")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-see")),
     ("GPL-3.0-or-later", ("gpl-free",)),
     ("GPL-3.0-only", ("gpl3-short",)),
@@ -62,53 +118,58 @@ RULES = (
     ("CC-BY-4.0", ("cc-by4-short",)),
     ("CC0-1.0", ("cc0-short",)),
     ("LicenseRef-AllRightsReserved", ("all-rights",)),
+    *((name, (f"spdx-{name}",)) for name in SPDX),
 )
 
-FRAGMENT = re.compile(r"[^\n.:;!?]+(?:[.:;!?]+(?=[^\s.:;!?])[^\n.:;!?]*)*[.:;!?]*|[.:;!?]+")
-#: Marks of quotation, list and comment that normalising removes.
-NOISE = re.compile(r"[^0-9a-z]+")
-
-
-def normalise(sentence: str) -> str:
-    return NOISE.sub(" ", sentence.lower()).strip()
+WORD = re.compile(r"[0-9A-Za-z]+")
+#: Where a fragment ends: a line end, or a mark with white space behind it.
+BORDER = re.compile(r"\n|[.:;!?](?=\s)")
+MARKS = re.compile(r"[.:;!?]*")
 
 
 class Scanner:
-    """Finds known sentences and rules; ``prefixes`` tells after which words a sentence can go on."""
+    """Finds known sentences and rules; sentences are paths of words in a trie, with their identifier at key None."""
 
     def __init__(self, sentences: dict[str, str] = SENTENCES, rules=RULES):
-        self.known, self.parts = {}, {}
+        self.trie: dict = {}
+        pairs = set()
         for name, sentence in sentences.items():
-            pieces = [p for p in (normalise(m.group()) for m in FRAGMENT.finditer(sentence)) if p]
-            self.known[" ".join(pieces)] = name
-        self.first = {k.split(" ", 1)[0] for k in self.known}
-        self.prefixes = {" ".join(k.split(" ")[:n]) for k in self.known for n in range(1, k.count(" ") + 2)}
-        self.rules = rules
-        self.starts = re.compile(r"(?:^|[\n.:;!?])[^0-9a-zA-Z\n]*(?:" + "|".join(sorted(map(re.escape, self.first))) + r")(?![0-9a-zA-Z])", re.IGNORECASE)
+            words = [w.lower() for w in WORD.findall(sentence)]
+            node = self.trie
+            for w in words:
+                node = node.setdefault(w, {})
+            node[None] = name
+            pairs.add(" ".join(words[:2]))
+        self.by_first: dict[str, list] = {}
+        for rule in rules:
+            self.by_first.setdefault(rule[1][0], []).append(rule)
+        # a word has one end, so no text is passed over twice
+        self.starts = re.compile("(?<![0-9a-z])(?:" + "|".join(p.replace(" ", "[^0-9a-z]++") for p in sorted(pairs)) + ")(?![0-9a-z])", re.IGNORECASE | re.ASCII)
 
     def identifiers(self, text: str) -> list[tuple[str | None, int, int]]:
         """(sentence or None, start, end) of runs of fragments, in order; unknown fragments are single."""
-        spans = [(m.start(), m.end()) for m in FRAGMENT.finditer(text)]
+        spans = [m.span() for m in WORD.finditer(text)]
+        if not spans:
+            return []
+        words = [text[a:b].lower() for a, b in spans]
+        starts = np.array([a for a, _ in spans])
+        borders = np.fromiter((m.start() for m in BORDER.finditer(text)), np.int64)
+        # the first word of each fragment
+        first = np.unique(np.concatenate([[0], np.searchsorted(starts, borders)]))
+        first = first[first < len(spans)].tolist()
+        limits = set(first) | {len(spans)}
+        after = dict(zip(first, [*first[1:], len(spans)]))
+        end = lambda j: MARKS.match(text, spans[j - 1][1]).end()
         out, i = [], 0
         while i < len(spans):
-            words, best, j = "", None, i
-            while j < len(spans):
-                part = normalise(text[spans[j][0] : spans[j][1]])
-                if j == i and part.split(" ", 1)[0] not in self.first:
-                    break
-                words = f"{words} {part}".strip() if part else words
-                if words not in self.prefixes:
-                    break
-                if words in self.known:
-                    best = (self.known[words], j)
+            node, best, j = self.trie, None, i
+            while j < len(spans) and (node := node.get(words[j])) is not None:
                 j += 1
-            if best:
-                out.append((best[0], spans[i][0], spans[best[1]][1]))
-                i = best[1] + 1
-            else:
-                if normalise(text[spans[i][0] : spans[i][1]]):
-                    out.append((None, *spans[i]))
-                i += 1
+                if None in node and j in limits:
+                    best = (node[None], j)
+            name, j = best or (None, after[i])
+            out.append((name, spans[i][0], end(j)))
+            i = j
         return out
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, list[str]]]:
@@ -117,7 +178,7 @@ class Scanner:
             return []
         ids, out, i = self.identifiers(text), [], 0
         while i < len(ids):
-            rule = ids[i][0] and next(((name, seq) for name, seq in self.rules if tuple(x[0] for x in ids[i : i + len(seq)]) == seq), None)
+            rule = next(((name, seq) for name, seq in self.by_first.get(ids[i][0], ()) if tuple(x[0] for x in ids[i : i + len(seq)]) == seq), None)
             if rule:
                 last = i + len(rule[1]) - 1
                 out.append((rule[0], ids[i][1], ids[last][2], list(rule[1])))

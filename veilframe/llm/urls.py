@@ -1,20 +1,26 @@
 """URL filtering: fixed rules first, then association rules mined by FP-growth.
 
 A fixed rule fits its host, all subdomains, and the paths that start with its own; the longest one
-wins.  Its verdict is the label of the pages that it fits.  FP-growth mines the token combinations
-of all urls together with these labels, so a combination's confidence counts unlabelled pages
-against it.  Rules that reach ``min_confidence`` and are not implied by a shorter one at least as
-sure are kept; an inverted index from token to rules finds those whose tokens a url has in full.
-The surest rule, then the best supported, decides; a url that none fits is allowed.
-
-The number of kept rules depends on ``min_support``, a share of the pages, not on their number.
+wins.  Its verdict is the label of the pages that it fits.  FP-growth mines the token combinations of
+the labelled pages together with their labels.  A rule needs ``min_support`` (a share of the labelled
+pages, five at least), ``min_confidence`` (of the labelled pages that hold its tokens, those with its verdict) and
+``min_coverage`` (of all pages that hold its tokens, the labelled ones): a combination that labels
+hardly touch, like a top-level domain, says nothing about the pages beyond them.  Rules implied by a shorter one
+at least as sure are pruned; an inverted index from token to rules finds those whose tokens a
+url has in full.  The surest rule, then the best supported, decides; a url that none fits is allowed.
+
+Two reductions keep the number of combinations small without losing a rule that pruning would keep: a token
+that is a rule by itself with confidence 1 is left out of the combinations, and of tokens that stand in the same labelled
+pages one enters, the one with the best coverage.  Frequent tokens are at most (tokens a url) / ``min_support``,
+whatever the number of pages; templates of many tokens that nearly, but not quite, go together remain FP-growth's worst case.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, no tokens, and is allowed;
-repeated rows count each; an empty table gives an empty result; further columns are ignored.
+repeated rows count each; an empty table, or one without a labelled page, mines nothing; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 import pyarrow as pa
@@ -24,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: Host, path and verdict of the fixed rules.
 FIXED = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+#: Labelled pages that a rule needs at least, however few there are.
+MIN_PAGES = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LABEL = "\x00"
 
@@ -54,23 +62,6 @@ def url_tokens(url: str) -> Column:
     return F.array_distinct(F.filter(tokens, lambda x: ~x.rlike("^[a-z]+:$")))
 
 
-def mine(labelled: DataFrame, *, min_support: float = 0.005, min_confidence: float = 0.9, partitions: int | None = None) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """(tokens, verdict, confidence, support) from the columns tokens and label; surest first, no rule implied by a shorter one."""
-    items = labelled.select(F.when(F.col("label").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.array(F.concat(F.lit(LABEL), F.col("label"))))).alias("items")).filter(F.size("items") > 0)
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=partitions or max(1, int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")))).fit(items).associationRules
-    named = found.filter(F.substring(F.col("consequent")[0], 1, 1) == LABEL).select(F.array_sort("antecedent").alias("tokens"), F.substr(F.col("consequent")[0], F.lit(2)).alias("verdict"), "confidence", "support")
-    rows = sorted(named.collect(), key=lambda r: (len(r["tokens"]), r["tokens"], r["verdict"]))
-    kept: list[tuple[tuple[str, ...], str, float, float]] = []
-    by_token = defaultdict(list)
-    for r in rows:
-        own = set(r["tokens"])
-        if not any(own > set(k[0]) and k[1] == r["verdict"] and k[2] >= r["confidence"] for t in own for k in by_token[t]):
-            kept.append((tuple(r["tokens"]), r["verdict"], r["confidence"], r["support"]))
-            for t in own:
-                by_token[t].append(kept[-1])
-    return sorted(kept, key=lambda k: (-k[2], -k[3], k[0], k[1]))
-
-
 class RuleIndex:
     """Inverted index: token to the ranks of the rules that need it."""
 
@@ -80,15 +71,68 @@ class RuleIndex:
             for token in rule[0]:
                 self.by_token[token].append(rank)
 
-    def best(self, tokens) -> int | None:
+    def fitting(self, tokens):
+        """Ranks of the rules whose tokens are all there."""
         seen: dict[int, int] = {}
-        best = None
         for token in tokens:
             for rank in self.by_token.get(token, ()):
                 seen[rank] = seen.get(rank, 0) + 1
-                if seen[rank] == len(self.rules[rank][0]) and (best is None or rank < best):
-                    best = rank
-        return best
+                if seen[rank] == len(self.rules[rank][0]):
+                    yield rank
+
+    def best(self, tokens) -> int | None:
+        return min(self.fitting(tokens), default=None)
+
+
+def _holders(pages: DataFrame, index: RuleIndex) -> dict[int, int]:
+    """Rank of a rule to the number of pages that hold its tokens."""
+
+    def count(batches):
+        n: dict[int, int] = defaultdict(int)
+        for batch in batches:
+            for tokens in batch.column(0).to_pylist():
+                for rank in index.fitting(tokens):
+                    n[rank] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["rank", "n"])
+
+    return {r["rank"]: r["n"] for r in pages.select("tokens").mapInArrow(count, "rank int, n bigint").groupBy("rank").agg(F.sum("n").alias("n")).collect()}  # a row for each rule
+
+
+def mine(labelled: DataFrame, *, min_support: float = 0.005, min_confidence: float = 0.9, min_coverage: float = 0.5, partitions: int | None = None) -> list[tuple[tuple[str, ...], str, float, float]]:
+    """(tokens, verdict, confidence, support) from the columns tokens and label; surest first, no rule implied by a shorter one."""
+    total = labelled.filter("label IS NOT NULL").count()
+    if not total:
+        return []
+    least = max(MIN_PAGES, math.ceil(min_support * total - 1e-9))
+    if least > total:
+        return []
+    page = F.xxhash64(F.array_sort("tokens"), "label").cast("decimal(38,0)")
+    each = labelled.withColumn("page", F.when(F.col("label").isNotNull(), page)).select("label", "page", F.explode("tokens").alias("token"))
+    each = each.groupBy("token").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.count_if(F.col("label") == "block").alias("block"), F.sum("page").alias("pages"))
+    alike: dict[tuple, tuple] = {}
+    sure = []
+    for r in sorted(each.filter(F.col("labelled") >= least).collect(), key=lambda r: (r["n"], r["token"])):
+        if r["block"] in (0, r["labelled"]) and r["labelled"] >= min_coverage * r["n"]:
+            sure.append(((r["token"],), "block" if r["block"] else "allow", 1.0, r["labelled"] / total))
+        else:
+            alike.setdefault((r["labelled"], r["block"], r["pages"]), r["token"])  # of several the least spread, so the best covered
+    used = F.array(*[F.lit(t) for t in sorted(alike.values())]).cast("array<string>")
+    items = labelled.filter("label IS NOT NULL").select(F.concat(F.array_intersect("tokens", used), F.array(F.concat(F.lit(LABEL), F.col("label")))).alias("items"))
+    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=min_confidence, numPartitions=partitions or max(1, int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")))).fit(items).associationRules
+    named = found.filter(F.substring(F.col("consequent")[0], 1, 1) == LABEL).select(F.array_sort("antecedent").alias("tokens"), F.substr(F.col("consequent")[0], F.lit(2)).alias("verdict"), "confidence", "support")
+    rules = [(tuple(r["tokens"]), r["verdict"], r["confidence"], r["support"]) for r in named.collect()]
+    holders = _holders(labelled, RuleIndex(rules)) if rules else {}
+    # a rule's labelled holders are its supported pages over its confidence
+    rules = [r for rank, r in enumerate(rules) if r[3] * total / r[2] >= min_coverage * holders.get(rank, 0) - 1e-6]
+    kept: list[tuple[tuple[str, ...], str, float, float]] = []
+    by_token = defaultdict(list)
+    for r in sorted(sure + rules, key=lambda r: (len(r[0]), r[0], r[1])):
+        own = set(r[0])
+        if not any(own > set(k[0]) and k[1] == r[1] and k[2] >= r[2] for t in own for k in by_token[t]):
+            kept.append(r)
+            for t in own:
+                by_token[t].append(r)
+    return sorted(kept, key=lambda k: (-k[2], -k[3], k[0], k[1]))
 
 
 def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=FIXED, default: str = "allow", **mining) -> DataFrame:
