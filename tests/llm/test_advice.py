@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from veilframe.llm import passages, suffixes
+from veilframe.llm import mixing, neardup, passages, suffixes
 
 
 def frame(spark, texts):
@@ -81,3 +81,46 @@ def test_repeats_without_or_under_one_id(spark):
     wanted = [(i, len(a + b + c), len(b), int(b != ""), hashlib.sha256((a + c).encode()).hexdigest()) for i, a, b, c in parts]
     key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows), key=key) == sorted(wanted, key=key)
+
+
+def _near(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, n long")
+
+
+def test_links_through_rows_without_an_id(spark):
+    """A text that only stands under a null id links its neighbours; each of two texts under one id is judged for itself."""
+    words = [f"b{k}" for k in range(160)]
+    a, n, b = " ".join(words[:130]), " ".join(words[12:142]), " ".join(words[24:154])
+    for middle in (2, None):
+        rows = neardup.find_near_duplicates(_near(spark, [(1, a, 0), (middle, n, 1), (middle, n, 2), (3, b, 3)])).collect()
+        assert [r["component_id"] for r in rows] == [1] * 4
+    assert {r["component_id"] for r in neardup.find_near_duplicates(_near(spark, [(1, a, 0), (3, b, 3)])).collect()} == {1, 3}
+    other = " ".join(f"c{k}" for k in range(100))
+    rows = [(1, a, 0), (1, other, 1), (1, other, 2), (5, other, 3), (6, n, 4), (7, "", 5), (7, None, 6), (0, b, 7), (None, a, 8)]
+    kept = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in neardup.drop_near_duplicates(_near(spark, rows)).collect())
+    assert kept == sorted([(True, 0, b), (True, 1, other), (True, 7, ""), (True, 7, ""), (False, 0, a)])
+
+
+def test_buckets_compared_in_blocks(spark, monkeypatch):
+    """Links found by the last comparison do not depend on the size of its blocks."""
+    rng = random.Random(51)
+    base = [f"d{k}" for k in range(200)]
+    texts = []
+    for k in range(60):
+        own = list(base)
+        for at in rng.sample(range(200), rng.randint(2, 9)):
+            own[at] = f"x{k}-{at}"
+        texts.append((k, " ".join(own), k))
+    monkeypatch.setattr(neardup, "STARS", 0)
+    found = []
+    for block in (1000, 7):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        found.append(sorted((r["doc_id"], r["component_id"]) for r in neardup.find_near_duplicates(_near(spark, texts), common_buckets=1).collect()))
+    sets = [{tuple(w[i : i + 5]) for i in range(196)} for w in (t[1].split() for t in texts)]
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    assert found[0] == found[1] == list(enumerate(root))

@@ -5,8 +5,8 @@ length form one pattern set with three tables: SHIFT (how far a block of two wor
 jump), suffix-hash buckets (which windows may end here) and the windows' words, compared directly.
 Symbols are words, found on the bytes; many stretches of text are searched in step with numpy.
 
-The pattern tables are broadcast in blocks of at most ``block_bytes`` of item text; a larger
-benchmark takes one pass over the documents for each block.
+The pattern tables, words as byte bounds and windows as places among them, are broadcast in blocks of about
+``block_bytes`` of item text; a larger benchmark takes one pass over the documents for each block.
 
 Edge cases: null and empty texts have no words and are never contaminated; an empty benchmark hits
 nothing; repeated rows are judged row by row; items with equal windows are all reported; items
@@ -30,20 +30,26 @@ LANE = 1024
 
 
 class PatternSet:
-    """Windows of one length, ready for searching."""
-
-    def __init__(self, windows: list[tuple[tuple[bytes, ...], frozenset[str]]]):
-        self.length = len(windows[0][0])
-        self.block = min(2, self.length)
-        words = np.array([[_word_hash(w) for w in ws] for ws, _ in windows], dtype=np.uint64)
-        places = self.length - self.block + 1
-        self.bits = max(12, min(24, int(8 * len(windows) * places).bit_length()))
-        self.shift = np.full(1 << self.bits, min(places, 255), np.uint8)
-        for q in range(places):
-            np.minimum.at(self.shift, self.slot(words[:, q : q + self.block].T), min(places - 1 - q, 255))
-        suffix = self.slot(words[:, places - 1 :].T)
+    """Windows of one length, ready for searching.
+
+    A window is a place in the items' words (``raw``, with the words' byte bounds); ``owners`` are item numbers, those of
+    window w at ``owners[owner_at[w]:owner_at[w + 1]]``.
+    """
+
+    def __init__(self, length: int, hashes: np.ndarray, places: np.ndarray, owners: np.ndarray, owner_at: np.ndarray):
+        self.length = length
+        self.block = min(2, length)
+        steps = length - self.block + 1
+        self.bits = max(12, min(24, int(8 * len(places) * steps).bit_length()))
+        self.shift = np.full(1 << self.bits, min(steps, 255), np.uint8)
+        for q in range(steps):
+            np.minimum.at(self.shift, self.slot(np.stack([hashes[places + q + i] for i in range(self.block)])), min(steps - 1 - q, 255))
+        suffix = self.slot(np.stack([hashes[places + steps - 1 + i] for i in range(self.block)]))
         order = np.argsort(suffix, kind="stable")
-        self.suffix, self.windows = suffix[order], [windows[i] for i in order]
+        self.suffix, self.places = suffix[order], places[order]
+        size = np.diff(owner_at)[order]
+        self.owner_at = np.concatenate([[0], np.cumsum(size)])
+        self.owners = owners[np.repeat(owner_at[:-1][order] - self.owner_at[:-1], size) + np.arange(self.owner_at[-1])]
 
     def slot(self, block: np.ndarray) -> np.ndarray:
         h = block[0]
@@ -73,35 +79,55 @@ class PatternSet:
             live = at < until
             at, until = at[live], until[live]
 
-    def bucket(self, slot: int) -> list:
-        lo, hi = np.searchsorted(self.suffix, [slot, slot + 1])
-        return self.windows[lo:hi]
-
-
-def _word_hash(word: bytes) -> int:
-    buf = np.frombuffer(word, np.uint8)
-    return int(T.word_hashes(buf, np.array([0]), np.array([len(buf)]))[0])
-
-
-def split_words(text: str | None) -> list[bytes]:
-    buf = T.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-    starts, ends, _ = T.word_bounds(buf, np.array([0, len(buf)]), T.ALNUM)
-    raw = buf.tobytes()
-    return [raw[s:e] for s, e in zip(starts, ends)]
-
-
-def build(items: list[tuple[str, str | None]], window: int) -> list[PatternSet]:
-    owners: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-    for item, text in items:
-        words = split_words(text)
-        m = min(window, len(words))
-        if m:
-            for i in range(len(words) - m + 1):
-                owners[m][tuple(words[i : i + m])].add(item)
-    return [PatternSet([(k, frozenset(v)) for k, v in sorted(own.items())]) for _, own in sorted(owners.items())]
-
-
-def search_rows(column: pa.Array, sets: list[PatternSet]) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+    def bucket(self, slot: int) -> range:
+        """The windows that may end where this slot is met."""
+        return range(*np.searchsorted(self.suffix, [slot, slot + 1]).tolist())
+
+
+class Patterns:
+    """The windows of a block of items: their words' bytes once, and a pattern set for each length."""
+
+    def __init__(self, items: list[tuple[str, str | None]], window: int):
+        self.names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        texts = pa.array([text for _, text in items], pa.large_string())
+        owner = np.array([number[name] for name, _ in items], np.int64)
+        raw, hashes, starts, ends, heads, counts, at, base = [], [], [], [], [], [], 0, 0
+        for _, buf, offsets in T.chunks(texts):
+            buf = T.LOWER[buf]
+            a, b, first = T.word_bounds(buf, offsets, T.ALNUM)
+            raw.append(buf.tobytes())
+            hashes.append(T.word_hashes(buf, a, b))
+            starts.append(a + at)
+            ends.append(b + at)
+            heads.append(first[:-1] + base)
+            counts.append(np.diff(first))
+            at, base = at + len(buf), base + len(a)
+        whole = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+        self.raw, self.starts, self.ends = b"".join(raw), whole(starts), whole(ends)
+        hashes, heads, counts = whole(hashes).astype(np.uint64), whole(heads), whole(counts)
+        self.sets = []
+        for m in np.unique(np.minimum(counts, window)).tolist():
+            own = np.flatnonzero(np.minimum(counts, window) == m)
+            n = counts[own] - m + 1
+            if not m or not len(own):
+                continue
+            places = np.repeat(heads[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            owners = np.repeat(owner[own], n)
+            # equal windows are one; owners once each
+            keys = T.run_hashes(hashes, m)[places]
+            order = np.lexsort((owners, keys))
+            keys, places, owners = keys[order], places[order], owners[order]
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])])
+            keys, places, owners = keys[new], places[new], owners[new]
+            new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            self.sets.append(PatternSet(m, hashes, places[new], owners, np.append(new, len(keys))))
+
+    def text(self, place: int, length: int) -> list[bytes]:
+        return [self.raw[a:b] for a, b in zip(self.starts[place : place + length].tolist(), self.ends[place : place + length].tolist())]
+
+
+def search_rows(column: pa.Array, patterns: Patterns) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
     """For each row: its words, the hit stretches of words, and the items found."""
     for _, buf, offsets in T.chunks(column):
         buf = T.LOWER[buf]
@@ -109,16 +135,17 @@ def search_rows(column: pa.Array, sets: list[PatternSet]) -> Iterator[tuple[int,
         words = T.word_hashes(buf, starts, ends)
         raw = buf.tobytes()
         hits, items = defaultdict(list), defaultdict(set)
-        for patterns in sets:
-            m = patterns.length
-            for first, slot in patterns.search(words, firsts):
-                own = None
-                for window, found in patterns.bucket(slot):
-                    own = own or tuple(raw[s:e] for s, e in zip(starts[first : first + m], ends[first : first + m]))
-                    if own == window:
+        for own in patterns.sets:
+            m = own.length
+            for first, slot in own.search(words, firsts):
+                here = None
+                for k in own.bucket(slot):
+                    here = here or [raw[s:e] for s, e in zip(starts[first : first + m].tolist(), ends[first : first + m].tolist())]
+                    if patterns.text(int(own.places[k]), m) == here:
                         row = int(np.searchsorted(firsts, first, side="right")) - 1
                         hits[row].append((first - int(firsts[row]), first - int(firsts[row]) + m))
-                        items[row] |= found
+                        items[row].update(patterns.names[i] for i in own.owners[own.owner_at[k] : own.owner_at[k + 1]].tolist())
+                        break
         for row in range(len(offsets) - 1):
             yield int(firsts[row + 1] - firsts[row]), hits.get(row, []), items.get(row, set())
 
@@ -133,7 +160,7 @@ def covered(stretches: list[tuple[int, int]]) -> int:
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    window: int = 10, block_bytes: int = 16 << 20,
+    window: int = 10, block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """One row per document: id, n_words, spans (hit word ranges), items (ids as strings)."""
     spark = docs.sparkSession
@@ -145,7 +172,7 @@ def find_contamination(
     schema = out.schema
     for k in range(n):
         block = own if n == 1 else own.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
-        sets = spark.sparkContext.broadcast(build([(r["item"], r["text"]) for r in block.collect()], window))
+        sets = spark.sparkContext.broadcast(Patterns([(r["item"], r["text"]) for r in block.collect()], window))
 
         def scan(batches, sets=sets):
             for batch in batches:

@@ -14,8 +14,8 @@ bucket that the stars leave in different components are then compared too: all s
 are few, after further stars around other centres if they are many.  No bucket is capped.
 
 Edge cases: null and empty texts have an empty set and stay alone; fewer than five words are one
-shingle; an empty table gives an empty result; repeated rows fall into one class; an id is taken
-to name one document; further columns are ignored.
+shingle; an empty table gives an empty result; repeated rows fall into one class; rows without an id take part,
+a component without any id has a null one, and texts under one id are judged each; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ BINS, ROWS = 192, 4
 #: Pairs left over by the stars are all weighed once there are at most so many for each bucket entry; they
 #: need so many common buckets (at similarity 0.75 a pair has fewer with a chance of 3e-6).
 LEFT_OVER, STARS, COMMON = 2000, 6, 3
+#: Entries of a bucket that are compared with each other in one go.
+BLOCK = 1000
 #: Size of a set's hashed bitmap, a power of two from 64 on; the bound is good for sets of up to about so many shingles.
 BITS = 2048
 
@@ -119,8 +121,8 @@ def _pair(a: str, b: str):
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def find_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the least id it is linked with, over any number of links), kept."""
+def _find(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: int, common_buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n_shingles, set_key, component_id) of every document, and the key of each component's kept class with its least id."""
     scratch = Scratch(docs.sparkSession, "neardup")
     signed = scratch.keep(signatures(docs, id_col, text_col, size), "signed")
     classes = scratch.keep(
@@ -132,8 +134,12 @@ def find_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     entries = scratch.keep(entries.join(shared, "bucket"), "entries0")
 
     wanted = scratch.keep(entries.select("cid").distinct().join(classes, "cid").select("cid", "first", "set_key"), "wanted")
-    texts = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text__")).join(wanted.select("first").distinct(), "first", "left_semi")
-    sets = scratch.keep(full_sets(texts, "first", "text__", size).join(wanted.select("set_key", "cid"), "set_key").select("cid", "shingles", "bits"), "sets")
+    texts = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text__"))
+    by_id = full_sets(texts.join(wanted.select("first").distinct(), "first", "left_semi"), "first", "text__", size)
+    no_id = full_sets(texts.filter("first IS NULL"), "first", "text__", size)  # their sets are told apart by content alone
+    sets = by_id.join(wanted.filter("first IS NOT NULL").select("set_key", "cid"), "set_key")
+    sets = sets.unionByName(no_id.join(wanted.filter("first IS NULL").select("set_key", "cid"), "set_key").dropDuplicates(["cid"]))
+    sets = scratch.keep(sets.select("cid", "shingles", "bits"), "sets")
 
     # common shingles of two classes are at most those of either that are not its own alone
     alone = sets.select("cid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("cid").alias("cid")).filter("k = 1").groupBy("cid").agg(F.count("*").alias("alone"))
@@ -164,22 +170,26 @@ def find_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         rows = entries.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         per = rows.groupBy("bucket", "root").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("own"), F.count("*").alias("roots")).filter("roots > 1")
         open_ = scratch.keep(rows.join(per.select("bucket"), "bucket", "left_semi"), f"open{k}")
-        total = per.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
+        total, most = per.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.max("all")).first()
         if not total:
             break
         last = k > STARS or total <= LEFT_OVER * max(open_.count(), 10_000)
         if last:
             words = [f"b{k}" for k in range(BITS // 64)]
+            # large buckets are compared block by block, each pair of blocks apart
+            open_ = open_.join(per.filter(F.col("all") > BLOCK).select("bucket", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")), "bucket", "left") if most > BLOCK else open_.withColumn("blocks", F.lit(1))
+            open_ = open_.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
             own = open_.join(classes.select("cid", "bands"), "cid").join(sets.select("cid", *[F.col("bits")[k].alias(w) for k, w in enumerate(words)]), "cid")
-            other = own.select("bucket", *[F.col(c).alias(f"{c}_") for c in ("cid", "n", "m", "root", "bands", *words)])
+            other = own.select("bucket", F.explode(F.sequence(F.lit(0), "block")).alias("low"), F.col("block").alias("high"), *[F.col(c).alias(f"{c}_") for c in ("cid", "n", "m", "root", "bands", *words)])
+            own = own.withColumn("low", F.col("block")).withColumn("high", F.explode(F.sequence("block", F.col("blocks") - 1)))
             # a bit of one set that the other lacks is a shingle that it lacks; plain columns, as lambdas are not compiled
             only = lambda a, b: sum((F.bit_count(F.col(w + a).bitwiseAND(F.bitwise_not(F.col(w + b)))) for w in words), F.lit(0))
             common = F.least(F.col("n") - only("", "_"), F.col("n_") - only("_", ""))
             like = common * (100 + similarity) >= (F.col("n") + F.col("n_")) * similarity
             # a pair shows up in its first common bucket only
             same = F.zip_with("bands", "bands_", lambda x, y: x == y)
-            once = (F.array_position(same, F.lit(True)) == F.col("band") + 1) & (F.size(F.filter(same, lambda x: x)) >= COMMON)
-            pairs = own.join(other, "bucket").filter((F.col("root") != F.col("root_")) & (F.col("cid") < F.col("cid_")) & near & like & once).select(*_pair("cid", "cid_"))
+            once = (F.array_position(same, F.lit(True)) == F.col("band") + 1) & (F.size(F.filter(same, lambda x: x)) >= common_buckets)
+            pairs = own.join(other, ["bucket", "low", "high"]).filter((F.col("root") != F.col("root_")) & ((F.col("low") < F.col("high")) | (F.col("cid") < F.col("cid_"))) & near & like & once).select(*_pair("cid", "cid_"))
         else:
             pairs = star(F.xxhash64("cid", F.lit(k)), open_)
         found = confirm(pairs.join(tested, ["a", "b"], "left_anti"), f"star{k}")
@@ -190,18 +200,39 @@ def find_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     scratch.drop("sets")
     roots = components(links, scratch, "roots").withColumnRenamed("node", "cid")
     rooted = classes.select("cid", "set_key", "first").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.min(F.struct(F.col("first").isNull(), F.col("first"), F.col("set_key"))).getField("set_key").alias("kept_key"))
     named = rooted.join(least, "root").select("set_key", "component_id")
-    out = signed.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
+    return signed.select("id", "n_shingles", "set_key").join(named, "set_key", "left"), least.select(F.col("kept_key").alias("set_key"), F.col("component_id").alias("id"))
+
+
+def find_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: int = SIMILARITY, common_buckets: int = COMMON) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (the least id it is linked with, over any number of links), kept.
+
+    With ``common_buckets=1`` the last comparison takes every pair of a bucket, so only pairs without a common bucket can be missed.
+    """
+    out, _ = _find(docs, id_col, text_col, size, similarity, common_buckets)
     component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component, with all its columns; rows without an id are not judged and stay."""
-    kept = find_near_duplicates(docs, id_col=id_col, **options).filter("kept").select(id_col).distinct()
-    own = docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return own.unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: int = SIMILARITY, common_buckets: int = COMMON) -> DataFrame:
+    """One document of each component, with all its columns, and every document without words.
+
+    Rows without an id are not dropped.  Where an id stands on several rows, each text is judged for itself.
+    """
+    scratch = Scratch(docs.sparkSession, "singles")
+    out, kept = _find(docs, id_col, text_col, size, similarity, common_buckets)
+    kept = kept.filter("id IS NOT NULL").unionByName(out.filter("set_key IS NULL AND id IS NOT NULL").select("set_key", "id"))
+    kept = scratch.keep(kept.distinct(), "kept")
+    several = scratch.keep(out.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id"), "several")
+    own = docs.join(kept.join(several, "id", "left_anti").select(F.col("id").alias(id_col)), id_col, "left_semi").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row__"), F.col(id_col).alias("id__"), F.col(text_col).alias("text__"))
+    rows = rows.join(several.withColumnRenamed("id", "id__"), "id__", "left_semi")
+    told = signatures(rows.select(F.struct("row__", "id__").alias("both"), "text__"), "both", "text__", size).select("id.row__", "id.id__", "set_key")
+    told = told.join(kept, (F.col("id__") == F.col("id")) & told["set_key"].eqNullSafe(kept["set_key"]), "left_semi")
+    single = told.filter("set_key IS NOT NULL").groupBy("id__", "set_key").agg(F.any_value("row__").alias("row__"))
+    told = single.select("row__").unionByName(told.filter("set_key IS NULL").select("row__"))
+    return own.unionByName(told.select("row__.*")).unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -32,8 +32,9 @@ transform(array(words__), ws -> transform(array(sort_array(transform(slice(ws, 1
         WHEN ws[cast(x & 16777215L as int)] = ws[cast(s[j - 1] & 16777215L as int)]
          AND ws[cast(x & 16777215L as int) + 1] = ws[cast(s[j - 1] & 16777215L as int) + 1]
          AND ws[cast(x & 16777215L as int) + 2] = ws[cast(s[j - 1] & 16777215L as int) + 2] THEN 1 ELSE 2 END)),
-    f -> CASE WHEN NOT array_contains(f, 1) AND NOT array_contains(f, 2) THEN 0
-              WHEN array_contains(f, 2) OR size(ws) > 16777215 THEN {by_text}
+    f -> CASE WHEN size(ws) > 16777215 THEN {by_text}
+              WHEN NOT array_contains(f, 1) AND NOT array_contains(f, 2) THEN 0
+              WHEN array_contains(f, 2) THEN {by_text}
               ELSE {by_hash} END)[0])[0])[0]
 """
 COVER = "transform(array({starts}), r -> size(array_union(array_union(r, transform(r, x -> x + 1)), transform(r, x -> x + 2))))[0]"
@@ -77,7 +78,11 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Votes by name; a rule abstains where a text is too short to tell or lies between its bounds."""
+    """Votes by name; a rule abstains where a text is too short to tell or lies between its bounds.
+
+    Long texts repeat words and three-word windows by nature, so from 2,000 words on ``repetition`` and ``variety`` can
+    vote good but not bad; the base rule bounds repetition at every length.
+    """
     per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
     mean = per_word("word_chars")
     enough = F.col("n_words") >= 30
@@ -111,7 +116,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], steps: int = 100, tolerance
     belief = [0.05 if min(p) < 0 else 0.95 if max(p) > 0 else 0.5 for p, _ in patterns]
     model = {"prior": 0.9, "good": [{-1: 0.05, 1: 0.95}] * m, "bad": [{-1: 0.5, 1: 0.5}] * m}
     for _ in range(steps if total else 0):
-        new = {"prior": min(0.99, max(0.5, sum(b * n for b, (_, n) in zip(belief, patterns)) / total)), "good": [], "bad": []}
+        new = {"prior": min(0.999, max(0.001, sum(b * n for b, (_, n) in zip(belief, patterns)) / total)), "good": [], "bad": []}
         for j in range(m):
             for side, share in (("good", lambda b: b), ("bad", lambda b: 1 - b)):
                 sums = {v: 1.0 + sum(share(b) * n for b, (p, n) in zip(belief, patterns) if p[j] == v) for v in (-1, 1)}
