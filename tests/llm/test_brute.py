@@ -70,8 +70,8 @@ def test_inclusion_is_as_planned():
 
 
 def test_targets(spark):
-    sizes = spark.createDataFrame([("a", 100), ("b", 10), ("c", 200), ("d", 0), (None, 90)], "source string, size long")
-    got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
+    per = spark.createDataFrame([("a", 1, 100), ("b", 1, 10), ("c", 1, 200), ("d", 1, 0), (None, 1, 90)], "source string, n long, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(per).collect()}
     # weights a1 b2 c3 d1 null2; b stops at 30 and d at 0
     level = (400 - 30) / 6
     assert got["b"] == 30 and got["d"] == 0
@@ -79,6 +79,49 @@ def test_targets(spark):
         assert abs(got[name] - level * weight) < 1e-6
 
 
+def plain_targets(sizes, weights=(1, 2, 3), most=3):
+    """Deals all words by weight and hands on what sources cannot take, until none is above its cap."""
+    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    target, open_, rest = {}, set(names), float(sum(sizes.values()))
+    while open_:
+        level = rest / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > most * sizes[s]}
+        for s in over or open_:
+            target[s] = float(most * sizes[s]) if over else level * weight[s]
+        rest -= sum(target[s] for s in over)
+        open_ = open_ - over if over else set()
+    return target
+
+
+def test_the_whole_mix(spark, texts):
+    """Sizes, targets and what is taken, by the query over a table and over one with nulls and repeats."""
+    rng = random.Random(17)
+    repeats = [(None, f"s{k % 2}", "one two three", k % 3) for k in range(900)] + [(7, "s0", "w " * rng.randint(1, 80), k) for k in range(300)] + [(8, None, "z " * 9, 1)] * 300 + [(9, "s9", None, 0), (10, "s9", " ", 0)]
+    table = spark.createDataFrame(repeats, "doc_id long, source string, text string, extra long")
+    for docs in (spark.read.parquet(f"{SF}/documents.parquet"), table):
+        plain = [(r["doc_id"], r["source"], len(WORD.findall(r["text"] or ""))) for r in docs.collect()]
+        sizes = Counter()
+        for _, source, n in plain:
+            sizes[source] += n
+        targets = plain_targets(sizes)
+        rows = mixing.mix_sources(docs).collect()
+        assert Counter((r["doc_id"], r["source"], r["size"]) for r in rows) == Counter(plain)
+        assert all(r["source_size"] == sizes[r["source"]] and abs(r["target"] - targets[r["source"]]) < 1e-6 for r in rows)
+        taken, most = Counter(), Counter()
+        for r in rows:
+            share = targets[r["source"]] / max(1, sizes[r["source"]])
+            assert r["size"] == 0 or int(share + 1e-9) <= r["copies"] <= min(3, int(share) + 1)
+            taken[r["source"]] += r["size"] * r["copies"]
+            most[r["source"]] = max(most[r["source"]], r["size"])
+        assert all(abs(taken[s] - targets[s]) <= most[s] for s in sizes)
+        out = mixing.take_mix(docs)
+        again = mixing.take_mix(docs.repartition(3, "text"))
+        key = lambda df: Counter(tuple(r) for r in df.collect())
+        assert out.columns == docs.columns and key(out) == key(again)
+        assert Counter((r["doc_id"], r["source"], len(WORD.findall(r["text"]))) for r in out.collect()) == sum((Counter({(r["doc_id"], r["source"], r["size"]): r["copies"]}) for r in rows if r["copies"]), Counter())
+
+
 def test_mix_comes_near_its_targets(spark, docs):
     rows = mixing.mix_sources(docs, group_rows=7).toPandas()
     again = mixing.mix_sources(docs, group_rows=7).toPandas()
