@@ -105,16 +105,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
     return own.mapInArrow(scan, f"id {dict(own.dtypes)['id']}, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+def full_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(set_key, cid, shingles, bits) of the texts in ``text__`` that are of one of their ``classes``; of all, without cid, where these are null."""
+
     def scan(batches):
-        for _, sets in _sets(batches, size):
-            for s in sets:
-                if len(s):
-                    bits = np.zeros(BITS, np.uint8)
-                    bits[(s & np.uint64(BITS - 1)).astype(np.int64)] = 1
-                    yield pa.RecordBatch.from_arrays([pa.array([_key(s)], pa.binary()), pa.array([s.view(np.int64)], pa.list_(pa.int64())), pa.array([np.packbits(bits).view(np.int64)], pa.list_(pa.int64()))], names=["set_key", "shingles", "bits"])
+        for batch in batches:
+            text, classes = (batch.column(batch.schema.get_field_index(c)) for c in ("text__", "classes"))
+            for first, buf, offsets in T.chunks(text):
+                for k, s in enumerate(T.shingle_sets(buf, offsets, size), first):
+                    own = classes[k].as_py() if len(s) else []
+                    key = _key(s) if len(s) else None
+                    for cid in [None] if own is None else [c["cid"] for c in own if c["set_key"] == key]:
+                        bits = np.zeros(BITS, np.uint8)
+                        bits[(s & np.uint64(BITS - 1)).astype(np.int64)] = 1
+                        yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([cid], pa.int64()), pa.array([s.view(np.int64)], pa.list_(pa.int64())), pa.array([np.packbits(bits).view(np.int64)], pa.list_(pa.int64()))], names=["set_key", "cid", "shingles", "bits"])
 
-    return docs.select(id_col, text_col).mapInArrow(scan, "set_key binary, shingles array<bigint>, bits array<bigint>")
+    return texts.select("text__", "classes").mapInArrow(scan, "set_key binary, cid bigint, shingles array<bigint>, bits array<bigint>")
 
 
 def _pair(a: str, b: str):
@@ -129,17 +135,20 @@ def _find(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: in
         signed.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("first"), F.max("n_shingles").alias("n"), F.any_value("bands").alias("bands")).withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
-    entries = classes.select("cid", "n", F.posexplode("bands").alias("band", "bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("mates")).filter("mates > 1")
-    entries = scratch.keep(entries.join(shared, "bucket"), "entries0")
+    # one exchange serves the counts and the join with them: the counts use all columns so that both read the same
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = classes.select("cid", "n", F.explode("bands").alias("bucket")).repartition(parts, "bucket")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("mates"), F.max(F.col("cid") + F.col("n")).alias("all_")).filter("mates > 1 AND all_ IS NOT NULL").drop("all_")
+    entries = scratch.keep(entries.join(shared.hint("shuffle_hash"), "bucket"), "entries0")
 
     wanted = scratch.keep(entries.select("cid").distinct().join(classes, "cid").select("cid", "first", "set_key"), "wanted")
     texts = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text__"))
-    by_id = full_sets(texts.join(wanted.select("first").distinct(), "first", "left_semi"), "first", "text__", size)
-    no_id = full_sets(texts.filter("first IS NULL"), "first", "text__", size)  # their sets are told apart by content alone
-    sets = by_id.join(wanted.filter("first IS NOT NULL").select("set_key", "cid"), "set_key")
-    sets = sets.unionByName(no_id.join(wanted.filter("first IS NULL").select("set_key", "cid"), "set_key").dropDuplicates(["cid"]))
-    sets = scratch.keep(sets.select("cid", "shingles", "bits"), "sets")
+    # the joins with texts and sets are merge joins at any size: the tables they meet grow with the corpus
+    by_id = full_sets(texts.join(wanted.filter("first IS NOT NULL").groupBy("first").agg(F.collect_list(F.struct("set_key", "cid")).alias("classes")).hint("merge"), "first"), size)
+    no_id = wanted.filter("first IS NULL").select("set_key", "cid")  # their texts are told apart by content alone
+    no_id = full_sets(texts.filter("first IS NULL").withColumn("classes", F.lit(None).cast("array<struct<set_key:binary,cid:bigint>>")), size).drop("cid").join(no_id, "set_key")
+    sets = by_id.select("cid", "shingles", "bits").unionByName(no_id.select("cid", "shingles", "bits").dropDuplicates(["cid"]))
+    sets = scratch.keep(sets, "sets")
 
     # common shingles of two classes are at most those of either that are not its own alone
     alone = sets.select("cid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("cid").alias("cid")).filter("k = 1").groupBy("cid").agg(F.count("*").alias("alone"))
@@ -155,7 +164,7 @@ def _find(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: in
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         own = scratch.keep(pairs, f"{name}-pairs")
-        joined = own.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
+        joined = own.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
         return scratch.keep(joined.withColumn("inter", inter).filter(F.col("inter") * 100 >= (both - F.col("inter")) * similarity).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), name)
 
     def star(rank, rows: DataFrame) -> DataFrame:
@@ -179,17 +188,15 @@ def _find(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: in
             # large buckets are compared block by block, each pair of blocks apart
             open_ = open_.join(per.filter(F.col("all") > BLOCK).select("bucket", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")), "bucket", "left") if most > BLOCK else open_.withColumn("blocks", F.lit(1))
             open_ = open_.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-            own = open_.join(classes.select("cid", "bands"), "cid").join(sets.select("cid", *[F.col("bits")[k].alias(w) for k, w in enumerate(words)]), "cid")
-            other = own.select("bucket", F.explode(F.sequence(F.lit(0), "block")).alias("low"), F.col("block").alias("high"), *[F.col(c).alias(f"{c}_") for c in ("cid", "n", "m", "root", "bands", *words)])
+            own = open_.join(sets.select("cid", *[F.col("bits")[k].alias(w) for k, w in enumerate(words)]), "cid")
+            other = own.select("bucket", F.explode(F.sequence(F.lit(0), "block")).alias("low"), F.col("block").alias("high"), *[F.col(c).alias(f"{c}_") for c in ("cid", "n", "m", "root", *words)])
             own = own.withColumn("low", F.col("block")).withColumn("high", F.explode(F.sequence("block", F.col("blocks") - 1)))
             # a bit of one set that the other lacks is a shingle that it lacks; plain columns, as lambdas are not compiled
             only = lambda a, b: sum((F.bit_count(F.col(w + a).bitwiseAND(F.bitwise_not(F.col(w + b)))) for w in words), F.lit(0))
             common = F.least(F.col("n") - only("", "_"), F.col("n_") - only("_", ""))
             like = common * (100 + similarity) >= (F.col("n") + F.col("n_")) * similarity
-            # a pair shows up in its first common bucket only
-            same = F.zip_with("bands", "bands_", lambda x, y: x == y)
-            once = (F.array_position(same, F.lit(True)) == F.col("band") + 1) & (F.size(F.filter(same, lambda x: x)) >= common_buckets)
-            pairs = own.join(other, ["bucket", "low", "high"]).filter((F.col("root") != F.col("root_")) & ((F.col("low") < F.col("high")) | (F.col("cid") < F.col("cid_"))) & near & like & once).select(*_pair("cid", "cid_"))
+            pairs = own.join(other, ["bucket", "low", "high"]).filter((F.col("root") != F.col("root_")) & ((F.col("low") < F.col("high")) | (F.col("cid") < F.col("cid_"))) & near & like).select(*_pair("cid", "cid_"))
+            pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("buckets")).filter(F.col("buckets") >= common_buckets).drop("buckets")
         else:
             pairs = star(F.xxhash64("cid", F.lit(k)), open_)
         found = confirm(pairs.join(tested, ["a", "b"], "left_anti"), f"star{k}")
