@@ -10,7 +10,8 @@ that of a heuristic.  Offsets are code points, 0-based, end exclusive.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,11 +68,41 @@ JUDGMENT_SKIPS = ("CASE_NUMBER", "PUBLIC_INSTITUTION", "DATE", "MONEY")
 SPANS = "start int, end int, text string, category string, confidence double, source string, corroborated_by array<string>, validation string"
 
 
+RUN, FORM = re.compile(rf"\b{NAME}(?: {NAME})*"), re.compile(rf" (?:{LEGAL_FORMS})")
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
+
+
+def _companies(text: str, pattern: re.Pattern) -> Iterator[re.Match]:
+    """The pattern's matches, tried only at runs of names that a legal form ends: a long run without one is passed over once."""
+    runs, at = RUN.finditer(text) if FORM.search(text) else (), 0
+    for run in runs:
+        if run.start() >= at and FORM.search(text, max(run.start(), run.end() - 64), run.end() + 64) and (m := pattern.match(text, run.start())):
+            yield m
+            at = m.end()
+
+
+def _addresses(text: str, pattern: re.Pattern) -> Iterator[re.Match]:
+    """The pattern's matches, tried only where the part before an ``@`` begins."""
+    at = 0
+    while (sign := text.find("@", at)) >= 0:
+        start = sign
+        while start > at and LOCAL.fullmatch(text[start - 1]):
+            start -= 1
+        m = pattern.match(text, start) if start < sign else None
+        if m:
+            yield m
+        at = m.end() if m else sign + 1
+
+
+#: Categories whose pattern would start again at every word or letter of a long run.
+CUED: dict[str, Callable[[str, re.Pattern], Iterable[re.Match]]] = {"COMPANY": _companies, "EMAIL": _addresses}
+
+
 def find(text: str, detectors: Iterable[tuple[str, re.Pattern, Callable | None, bool]]) -> list[tuple]:
     """(start, end, text, category, validation), unresolved."""
     out = []
     for category, pattern, check, lenient in detectors:
-        for m in pattern.finditer(text):
+        for m in CUED[category](text, pattern) if category in CUED else pattern.finditer(text):
             value = m.group()
             lead = len(value) - len(value.lstrip())
             if value.strip() == "":
@@ -86,15 +117,16 @@ def find(text: str, detectors: Iterable[tuple[str, re.Pattern, Callable | None,
 
 def resolve(found: list[tuple], rank: dict[str, int] = ORDER) -> list[tuple]:
     """Overlap-free spans by length, category order, start; each with the categories that lost on its own range."""
-    kept: list[tuple] = []
+    kept: list[tuple] = []  # by start, free of overlaps, so a span can only clash with its neighbours
     losers: dict[tuple[int, int], list[str]] = {}
     for s in sorted(found, key=lambda s: (s[0] - s[1], rank.get(s[3], len(rank)), s[0], s[3])):
-        clash = [k for k in kept if s[0] < k[1] and k[0] < s[1]]
-        if not clash:
-            kept.append(s)
-        elif (clash[0][0], clash[0][1]) == (s[0], s[1]) and clash[0][3] != s[3]:
-            losers.setdefault((s[0], s[1]), []).append(s[3])
-    return [(*s, losers.get((s[0], s[1]), [])) for s in sorted(kept)]
+        k = bisect_left(kept, s[0], key=lambda x: x[0])
+        clash = next((x for x in kept[max(0, k - 1) : k + 2] if s[0] < x[1] and x[0] < s[1]), None)
+        if clash is None:
+            insort(kept, s, key=lambda x: x[0])
+        elif clash[:2] == s[:2] and clash[3] != s[3]:
+            losers.setdefault(s[:2], []).append(s[3])
+    return [(*s, losers.get(s[:2], [])) for s in kept]
 
 
 def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", categories: Iterable[str] | None = None, profile: str = "standard", rules: Iterable[tuple[str, str]] = (), resolved: bool = True) -> DataFrame:

@@ -21,21 +21,25 @@ def _pattern(body: str):
     return re.compile(rf"(?<![^\W_]){body}(?![^\W_])", re.IGNORECASE)
 
 
+#: Kinds of forms: whole ones, whose words anything that separates words in a name may part, and stems with any ending.
+BODIES = {
+    "whole": lambda form: r"[\s_.-]+".join(map(re.escape, form.split(" "))),
+    "stem": lambda form: re.escape(form[:-STEM_CUT]) + rf"[^\W\d_]{{0,{STEM_CUT + ENDING}}}",
+}
+
+
+def known_forms(entry) -> list[tuple[str, str]]:
+    """(form, kind) by which a map's entry may stand in a name: its values, and the words of people's names."""
+    values = list({" ".join(v.split()): None for v in [entry["canonical_text"], *(() if entry["variants"] is None else entry["variants"])]})
+    words = [w for v in values for w in v.split(" ")] if entry["category"] == "PERSON" else []
+    table = [(v, "whole") for v in values] + [(w, "stem" if len(w) >= LEAST_STEM else "whole") for w in words]
+    return [row for row in table if len(row[0]) >= LEAST_VALUE]
+
+
 def name_rules(entries) -> list[tuple[str, str]]:
-    """(pattern body, token) of a map's values, longest first; equally long ones in the map's order."""
-    rules = []
-    for e in entries if entries is not None else ():
-        values = dict.fromkeys(" ".join(v.split()) for v in [e["canonical_text"], *(e["variants"] if e["variants"] is not None else ())])
-        for value in values:
-            words = value.split(" ")
-            if len(value) >= LEAST_VALUE:
-                rules.append((len(value), r"[\s_.-]+".join(map(re.escape, words)), e["token"]))
-            for word in words if e["category"] == "PERSON" else ():
-                if len(word) >= LEAST_STEM:
-                    rules.append((len(word), re.escape(word[:-STEM_CUT]) + rf"[^\W\d_]{{0,{STEM_CUT + ENDING}}}", e["token"]))
-                elif len(word) >= LEAST_VALUE:
-                    rules.append((len(word), re.escape(word), e["token"]))
-    return [r[1:] for r in sorted(rules, key=lambda r: -r[0])]
+    """(pattern body, token) of a map's forms, longest first; equally long ones in the map's order."""
+    table = [(form, kind, e["token"]) for e in (() if entries is None else entries) for form, kind in known_forms(e)]
+    return [(BODIES[kind](form), token) for form, kind, token in sorted(table, key=lambda row: len(row[0]), reverse=True)]
 
 
 def rename(base: str, entries) -> str:
@@ -74,13 +78,14 @@ def unique_names(names: DataFrame, *, by: list[str], base_col: str = "base", ord
 
 def free_names(wanted: DataFrame, existing: DataFrame, *, most: int = 999) -> DataFrame:
     """Adds free_name for one wanted (folder, name) each: the name, or the first of ``name (2)``... up to ``most`` that does not exist; null if none is left."""
-    base, ext = N.base_of(F.col("name")), F.regexp_extract("name", r"(?<=.)(\.[^.]*)$", 1)
-    taken = existing.select("folder", F.col("name").alias("taken")).distinct()
-    # names of the same base and extension decide: the first number that is not among theirs
-    number = F.regexp_extract("rest", r"^ \(([0-9]+)\)$", 1)
-    rows = wanted.withColumns({"base_": base, "ext_": ext})
-    hit = rows.join(taken, "folder").filter(F.col("taken").startswith(F.col("base_")) & F.col("taken").endswith(F.col("ext_"))).withColumn("rest", F.expr("substring(taken, length(base_) + 1, length(taken) - length(base_) - length(ext_))"))
-    hit = hit.withColumn("k", F.when(F.col("rest") == "", 1).when(number.rlike("^[1-9][0-9]{0,3}$"), number.cast("int"))).filter("k IS NOT NULL")
+    parts = lambda c: {"base_": N.base_of(F.col(c)), "ext_": F.regexp_extract(c, r"(?<=.)(\.[^.]*)$", 1)}
+    # a taken name is its base's first, and where it ends with a number also that base's which stands before
+    taken = existing.select("folder", F.col("name").alias("taken")).distinct().withColumns(parts("taken"))
+    numbered = r"^(.*) \(([1-9][0-9]{0,3})\)$"
+    later = taken.filter(F.col("base_").rlike(numbered)).select("folder", F.regexp_extract("base_", numbered, 1).alias("base_"), "ext_", F.regexp_extract("base_", numbered, 2).cast("int").alias("k"))
+    taken = taken.select("folder", "base_", "ext_", F.lit(1).alias("k")).unionByName(later)
+    rows = wanted.withColumns(parts("name"))
+    hit = rows.join(taken, ["folder", "base_", "ext_"])
     used = hit.groupBy("folder", "name").agg(F.collect_set("k").alias("used"))
     rows = rows.join(used, ["folder", "name"], "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
     free = F.when(F.size("used") == 0, 1).otherwise(F.try_element_at(F.array_except(F.sequence(F.lit(1), F.lit(most)), F.col("used")), F.lit(1)))

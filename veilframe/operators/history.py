@@ -45,9 +45,13 @@ def latest(history: DataFrame, n: int = 1) -> DataFrame:
     return listing(history).limit(n)
 
 
+def parsed(history: DataFrame, schema: str) -> DataFrame:
+    return history.withColumn("session", F.from_json("session_json", schema))
+
+
 def get(history: DataFrame, key: int, schema: str) -> DataFrame:
     """The parsed session of one row; no row if there is none."""
-    return history.filter(F.col("id") == key).withColumn("session", F.from_json("session_json", schema))
+    return parsed(history.filter(F.col("id") == key), schema)
 
 
 def delete(history: DataFrame, key: int | None = None) -> DataFrame:

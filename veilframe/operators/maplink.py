@@ -91,6 +91,6 @@ def expired(maps: DataFrame, now, days: int = 30) -> DataFrame:
 
 
 def newest_first(maps: DataFrame) -> DataFrame:
-    """Remembered maps by the milliseconds at the start of their file name, newest first."""
+    """Remembered maps by the milliseconds at the start of their file name, newest first: a sort by ranges, so of any number of maps."""
     saved = F.regexp_extract("map_file_name", r"^([0-9]+)-", 1).cast("long")
-    return maps.withColumn("saved_ms", saved).withColumn("rank", F.row_number().over(Window.orderBy(F.col("saved_ms").desc_nulls_last(), "map_file_name")))
+    return maps.withColumn("saved_ms", saved).orderBy(F.col("saved_ms").desc_nulls_last(), "map_file_name")

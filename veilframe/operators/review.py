@@ -20,7 +20,7 @@ def set_entity_status(spans: DataFrame, on: Column, status: str) -> DataFrame:
     return _set(spans, on, status=F.lit(status))
 
 
-def set_group_status(spans: DataFrame, group: str, status: str) -> DataFrame:
+def set_group_status(spans: DataFrame, group: str | Column, status: str) -> DataFrame:
     return _set(spans, F.col("entity_group_id") == group, status=F.lit(status))
 
 
@@ -37,7 +37,7 @@ def _adopt(spans: DataFrame, on: Column, group: Column, id_col: str) -> DataFram
     return _set(rows, F.col("g__").isNotNull(), category=F.col("c__"), canonical_text=F.col("l__"), entity_group_id=F.col("g__")).drop("to__", "d__", "g__", "c__", "l__")
 
 
-def assign_to_group(spans: DataFrame, on: Column, group: str, *, id_col: str = "doc_id") -> DataFrame:
+def assign_to_group(spans: DataFrame, on: Column, group: str | Column, *, id_col: str = "doc_id") -> DataFrame:
     return _adopt(spans, on, F.lit(group), id_col)
 
 
@@ -45,9 +45,10 @@ def create_group(spans: DataFrame, on: Column) -> DataFrame:
     return _set(spans, on, entity_group_id=F.concat(F.lit("manual-group-"), F.col("id")))
 
 
-def merge_groups(spans: DataFrame, source: str, target: str, *, id_col: str = "doc_id") -> DataFrame:
+def merge_groups(spans: DataFrame, source: str | Column, target: str | Column, *, id_col: str = "doc_id") -> DataFrame:
     """All spans of the source group adopt the target; nothing happens if they are the same or the target is unknown."""
-    return spans if source == target else _adopt(spans, F.col("entity_group_id") == source, F.lit(target), id_col)
+    source, target = F.lit(source), F.lit(target)
+    return _adopt(spans, (F.col("entity_group_id") == source) & (source != target), target, id_col)
 
 
 def add_manual(spans: DataFrame, docs: DataFrame, ranges: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -157,7 +157,8 @@ def category_legend(spark, sf_dir):
 @query(f"{SPANS_SQL} SELECT count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (lower(status) <> 'rejected') AS accepted_leniently FROM rev")
 def accepted_count(spark, sf_dir):
     own = reviewed(documents(spark, sf_dir))
-    return own.agg(F.count_if(F.col("status") == "accepted").alias("accepted"), F.count_if(F.lower(F.coalesce("status", F.lit("accepted"))) != "rejected").alias("accepted_leniently"))
+    counts = [keep(own).agg(F.count("*").alias(n)) for keep, n in ((spans.accepted, "accepted"), (spans.accepted_leniently, "accepted_leniently"))]
+    return counts[0].join(counts[1])  # one row each
 
 
 @query(f"{SPANS_SQL} SELECT DISTINCT doc_id, gid AS entity_group_id FROM rev WHERE validation = 'failed'")
@@ -427,7 +428,7 @@ def normalized_stem(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", N.normalized_stem(name).alias("stem"))
 
 
-@query()
+@query(f"SELECT c.file_id, CASE choice WHEN 'none' THEN 'no_map' WHEN 'ambiguous' THEN 'ambiguous_map' ELSE 'ok' END AS outcome, CASE WHEN choice = 'found' THEN d.text END AS restored_text, CAST(NULL AS VARCHAR) AS message FROM ({CHOOSE_SQL}) c JOIN documents d ON d.doc_id = c.file_id")
 def restore_files(spark, sf_dir):
     files, maps, entries = _returned(documents(spark, sf_dir))
     return P.restore_files(files, maps, entries, by=("case",))
@@ -474,10 +475,20 @@ def merge_groups(spark, sf_dir):
     """Every group of a document merges into the one of its first span."""
     own = reviewed(documents(spark, sf_dir))
     first = own.groupBy("doc_id").agg(F.min_by("entity_group_id", "idx").alias("first__"))
-    rows = review._adopt(own.join(first, "doc_id"), F.col("entity_group_id") != F.col("first__"), F.col("first__"), "doc_id")
+    rows = review.merge_groups(own.join(first, "doc_id"), F.col("entity_group_id"), F.col("first__"))
     return rows.select("doc_id", "id", "category", "canonical_text", "entity_group_id")
 
 
+@query(f"""{SPANS_SQL}, f AS (SELECT doc_id, arg_min(gid, idx) AS g, arg_max(gid, idx) AS h, arg_max(category, idx) AS c, max(idx) AS m FROM rev GROUP BY doc_id)
+SELECT rev.doc_id, id, CASE WHEN gid = g THEN 'rejected' ELSE status END AS status, CASE WHEN idx = 0 THEN h ELSE gid END AS entity_group_id, CASE WHEN idx = 0 THEN c ELSE category END AS category FROM rev JOIN f USING (doc_id)""")
+def first_group_rejected(spark, sf_dir):
+    """The group of each document's first span is rejected, then that span joins the group of the last one."""
+    own = reviewed(documents(spark, sf_dir))
+    ends = own.groupBy("doc_id").agg(F.min_by("entity_group_id", "idx").alias("first__"), F.max_by("entity_group_id", "idx").alias("last__"))
+    rows = review.set_group_status(own.join(ends, "doc_id"), F.col("first__"), "rejected")
+    return review.assign_to_group(rows, F.col("idx") == 0, F.col("last__")).select("doc_id", "id", "status", "entity_group_id", "category")
+
+
 @query(f"{SPANS_SQL} SELECT doc_id, id, category, status FROM rev UNION ALL SELECT doc_id, 'manual-0-' || least(4, length(text)) || '-CUSTOM', 'CUSTOM', 'accepted' FROM documents")
 def manual_entity(spark, sf_dir):
     docs = documents(spark, sf_dir)
@@ -548,7 +559,7 @@ def free_path(spark, sf_dir):
     return filenames.free_names(wanted, existing).select("folder", "free_name")
 
 
-@query()
+@query(f"{SPANS_SQL} SELECT doc_id, 'Offer ' || min(token) || ' final' AS name FROM tok GROUP BY doc_id")
 def rename_with_map(spark, sf_dir):
     out = done(documents(spark, sf_dir))
     rows = out.maps.select("doc_id", "entries", F.concat(F.lit("Offer "), F.col("entries")[0]["canonical_text"], F.lit(" final")).alias("base"))
@@ -630,7 +641,7 @@ def batch_export(spark, sf_dir):
     return batch.export(items, by=["source"], order_col="doc_id")
 
 
-@query()
+@query(f"{SPANS_SQL} SELECT DISTINCT d.source, true AS is_encrypted, true AS equal FROM tok JOIN documents d ON d.doc_id = tok.doc_id")
 def map_encrypt_roundtrip(spark, sf_dir):
     """One password for all maps of a source, so one key each: derivation is meant to be slow."""
     docs = documents(spark, sf_dir)
@@ -639,6 +650,46 @@ def map_encrypt_roundtrip(spark, sf_dir):
     return crypto.decrypt_maps(rows, "password").select("source", crypto.is_encrypted(F.col("encrypted")).alias("is_encrypted"), (F.col("decrypted") == F.col("json")).alias("equal"))
 
 
+@query(f"{SPANS_SQL} SELECT DISTINCT doc_id, CAST(doc_id % 2 AS INTEGER) AS kept FROM tok WHERE doc_id % 2 = 1")
+def history_delete_and_get(spark, sf_dir):
+    """Sessions of odd documents after the even ones went one by one in effect: each parsed session holds entries."""
+    rows = _history(spark, sf_dir)
+    left = history.delete(rows, 0).filter("id % 2 = 1")
+    parsed = history.parsed(left, "entries array<struct<token:string>>")
+    return parsed.filter(F.size("session.entries") > 0).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("kept"))
+
+
+@query("SELECT doc_id, CASE WHEN trim(CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE lang END) = '' THEN 'Give the rule a name.' WHEN doc_id % 7 = 0 THEN 'Give the rule a label.' WHEN length(repeat('ab', CAST(doc_id % 200 AS BIGINT))) = 0 THEN 'Give the rule a pattern.' WHEN 2 * (doc_id % 200) > 256 THEN 'A pattern has at most 256 characters.' END AS problem FROM documents")
+def rule_problems(spark, sf_dir):
+    docs, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    named = docs.select("doc_id", F.when(k % 5 == 0, " ").otherwise(F.col("lang")).alias("name"), F.when(k % 7 == 0, "").otherwise("word").alias("label"), F.expr("repeat('ab', int(doc_id % 200))").alias("pattern"))
+    return rules.problems(named).select("doc_id", "problem")
+
+
+@query("SELECT doc_id, 'r' || doc_id AS name, 'a+' AS pattern, lang AS label FROM documents WHERE doc_id % 3 <> 1")
+def enabled_rules(spark, sf_dir):
+    """Of each document's two rules one lacks a pattern; the other is enabled, by itself or by default, or not."""
+    flag = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, ',"enabled":false').otherwise(',"enabled":true')
+    json = F.concat(F.lit('[{"id":"x","name":"broken","label":"y"},{"id":"'), F.col("doc_id").cast("string"), F.lit('","name":"r'), F.col("doc_id").cast("string"), F.lit('","pattern":"a+","label":"'), F.col("lang"), F.lit('"'), flag, F.lit("}]"))
+    loaded = rules.load(table(spark, sf_dir, "documents").select(json.alias("json")))
+    return rules.enabled(loaded).select(F.substring("name", 2, 20).cast("long").alias("doc_id"), "name", "pattern", "label")
+
+
+@query("""SELECT doc_id, CASE WHEN s IS NULL THEN 'engine not reachable' WHEN s >= 500 THEN 'engine failed' WHEN s = 401 THEN 'not signed in' WHEN s = 403 THEN 'not allowed' WHEN s = 404 THEN 'not found' WHEN s = 413 THEN 'file too large'
+WHEN s = 415 THEN 'format not supported' WHEN s = 422 THEN 'content not accepted' WHEN s = 429 THEN 'too many requests' ELSE 'request failed' END AS message FROM (SELECT doc_id, CASE WHEN doc_id % 11 > 0 THEN 395 + doc_id % 130 END AS s FROM documents)""")
+def error_messages(spark, sf_dir):
+    status = F.when(F.col("doc_id") % 11 > 0, F.lit(395) + F.col("doc_id") % 130)
+    return table(spark, sf_dir, "documents").select("doc_id", M.error_message(status).alias("message"))
+
+
+@query("SELECT doc_id, '[EMAIL_' || doc_id || ']|[' || upper(lang) || '_2]' AS tokens FROM documents")
+def warned_tokens(spark, sf_dir):
+    """Tokens that warnings name; a warning about something else names none."""
+    told = lambda token: F.concat(F.lit("Unknown anonymization token "), token, F.lit(" at offset 7."))
+    warnings = F.array(told(F.concat(F.lit("[EMAIL_"), F.col("doc_id").cast("string"), F.lit("]"))), F.lit("The layout was simplified [1]."), told(F.concat(F.lit("["), F.upper("lang"), F.lit("_2]"))))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(M.warned_tokens(warnings), "|").alias("tokens"))
+
+
 # Texts of files, notices and stores
 
 
