@@ -232,7 +232,8 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     kept = kept.filter("id IS NOT NULL").unionByName(out.filter("set_key IS NULL AND id IS NOT NULL").select("set_key", "id"))
     kept = scratch.keep(kept.distinct(), "kept")
     several = scratch.keep(out.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id"), "several")
-    own = docs.join(kept.join(several, "id", "left_anti").select(F.col("id").alias(id_col)), id_col, "left_semi").select(*docs.columns)
+    # a merge join at any size, as the ids kept grow with the corpus
+    own = docs.join(kept.join(several, "id", "left_anti").select(F.col("id").alias(id_col)).hint("merge"), id_col, "left_semi").select(*docs.columns)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row__"), F.col(id_col).alias("id__"), F.col(text_col).alias("text__"))
     rows = rows.join(several.withColumnRenamed("id", "id__"), "id__", "left_semi")
     told = signatures(rows.select(F.struct("row__", "id__").alias("both"), "text__"), "both", "text__", size).select("id.row__", "id.id__", "set_key")
