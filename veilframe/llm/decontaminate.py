@@ -16,7 +16,7 @@ that share an id count once, and a null id reads as ``null``.  Further columns a
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -158,17 +158,14 @@ def covered(stretches: list[tuple[int, int]]) -> int:
     return total
 
 
-def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    window: int = 10, block_bytes: int = 8 << 20,
-) -> DataFrame:
-    """One row per document: id, n_words, spans (hit word ranges), items (ids as strings)."""
-    spark = docs.sparkSession
+def _search(spark, out: DataFrame, benchmark: DataFrame, text_of: Callable[[pa.RecordBatch], pa.Array], item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
+    """The columns of ``out`` with n_words, spans and items of the texts that ``text_of`` finds in a batch of it."""
+    T.bound_batches(spark)
     own = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     scratch = Scratch(spark, "decontaminate")
-    out = docs.select(F.col(id_col), F.col(text_col).alias("text__"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    out = out.select("*", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     schema = out.schema
     for k in range(n):
         block = own if n == 1 else own.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
@@ -176,10 +173,9 @@ def find_contamination(
 
         def scan(batches, sets=sets):
             for batch in batches:
-                text = batch.column(batch.schema.get_field_index("text__"))
                 counts, spans, items = [], [], []
                 before = batch.column(batch.schema.get_field_index("spans")).to_pylist(), batch.column(batch.schema.get_field_index("items")).to_pylist()
-                for (words, hits, found), s, i in zip(search_rows(text, sets.value), *before):
+                for (words, hits, found), s, i in zip(search_rows(text_of(batch), sets.value), *before):
                     counts.append(words)
                     spans.append(s + [{"start": a, "end": b} for a, b in hits])
                     items.append(sorted(found | set(i)))
@@ -192,7 +188,16 @@ def find_contamination(
             out = scratch.keep(out, f"pass{k}")
             if k:
                 scratch.drop(f"pass{k - 1}")
-    return out.drop("text__")
+    return out
+
+
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = 10, block_bytes: int = 8 << 20,
+) -> DataFrame:
+    """One row per document: id, n_words, spans (hit word ranges), items (ids as strings)."""
+    own = docs.select(F.col(id_col), F.col(text_col).alias("text__"))
+    return _search(docs.sparkSession, own, benchmark, lambda batch: batch.column(batch.schema.get_field_index("text__")), item_col, item_text_col, window, block_bytes).drop("text__")
 
 
 def hit_words(spans: str = "spans"):
@@ -205,10 +210,16 @@ def hit_words(spans: str = "spans"):
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """The documents without any occurrence of a benchmark window, with all their columns, whatever their names."""
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row__"), F.col(text_col).alias("text"))
-    found = find_contamination(own, benchmark, id_col="row__", **options)
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20,
+) -> DataFrame:
+    """The documents without any occurrence of a benchmark window, with all their columns, whatever their names.
+
+    Rows go through the search as they are, so that each text is sent once.
+    """
+    at = docs.columns.index(text_col)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row__"))
+    found = _search(docs.sparkSession, own, benchmark, lambda batch: batch.column(batch.schema.get_field_index("row__")).field(at), item_col, item_text_col, window, block_bytes)
     return found.filter(F.size("items") == 0).select("row__.*")
 
 

@@ -101,6 +101,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
                 found.append(bands(signature(s)) if len(s) else None)
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "n_shingles", "set_key", "bands"])
 
+    T.bound_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return own.mapInArrow(scan, f"id {dict(own.dtypes)['id']}, n_shingles bigint, set_key binary, bands array<bigint>")
 

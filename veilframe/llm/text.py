@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 20
+BATCH, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+BATCH_BYTES = 8 << 20
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -46,6 +48,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def bound_batches(spark) -> None:
+    """Arrow batches of about ``BATCH_BYTES`` from now on in this session, unless it names a size of its own.
+
+    Spark's own bound of 64 MB stands, as buffers double and both sides hold copies, for several times that in each task.
+    """
+    if spark.conf.get(BATCH).rstrip("b") == str(BATCH_DEFAULT):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row offsets into them) of runs of rows; null reads as empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
