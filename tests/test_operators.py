@@ -187,6 +187,42 @@ def test_choose_map(spark):
     assert choose(spark, "x.txt", "Z Ewa Lis.", [(NONE, [fake("Jan")]), (NONE, [fake("Anna")])])[0] == "ambiguous"
 
 
+def test_decide_maps_as_choose_maps(spark):
+    """Kinds of files and maps decide as every file against every map does, with names, forms and cases."""
+    rng = random.Random(7)
+    text = lambda: " ".join(rng.choice(("[A_1]", "[A_1]", "[A_2]", "[B_1]", "word", "Ewa Lis,", "Janek", "Ewa", "(--)")) for _ in range(rng.randrange(5)))
+    name = lambda: rng.choice(("ab.txt", "deed.txt", "deed old.txt", "Deed_anon_v2 (3).txt", "deed old_1.docx", "other.md", None))
+    files = [(k, rng.choice("xyz") if k % 9 else None, name(), text() if k % 11 else None) for k in range(150)]
+    maps = [(k, k // 2 if k % 5 else None, name(), name(), name()) for k in range(60)]
+    entries = []
+    for k in range(60):
+        case = rng.choice("xyz") if k % 9 else None
+        for token in rng.sample(("[A_1]", "[A_2]", "[B_1]", "[C_1]"), rng.randrange(4)):
+            forms = {rng.choice(("Ewa Lis", "Jan", "--")): rng.choice("pq")} if rng.random() < 0.3 else None
+            entries.append((k, case, token, "PERSON", rng.choice(("p", "p", "p", "q", None)), forms))
+    files = spark.createDataFrame(files, "file_id long, case string, file_name string, text string")
+    maps = spark.createDataFrame(maps, "map_id long, recency_rank long, source_name string, output_name string, map_file_name string")
+    entries = spark.createDataFrame(entries, "map_id long, case string, token string, category string, canonical_text string, fake_forms map<string,string>")
+    for by in (("case",), ()):
+        f, e = (files, entries) if by else (files.drop("case"), entries.drop("case"))
+        ranked = maps.withColumn("recency_rank", F.coalesce(F.col("recency_rank"), F.lit(99)) * 100 + F.col("map_id"))
+        plain = {r["file_id"]: (r["choice"], r["map_ids"][0] if r["choice"] == "found" else None) for r in maplink.choose_maps(f, ranked, e, by=by).collect()}
+        got = {r["file_id"]: (r["choice"], r["map_id"]) for r in maplink.decide_maps(f, maps, e, by=by).collect()}
+        assert got == plain and len({c for c, _ in got.values()}) == 3
+        outcome = {r["file_id"]: r["outcome"] for r in P.restore_files(f, maps, e, by=by).collect()}
+        assert outcome == {k: {"none": "no_map", "ambiguous": "ambiguous_map", "found": "ok"}[c] for k, (c, _) in got.items()}
+
+
+def test_restoring_moves_no_text_without_a_map(spark):
+    """Many files and maps with one token: the plan that restores is short, and no step grows with their product."""
+    files = spark.range(3000).select(F.col("id").alias("file_id"), F.lit("answer.txt").alias("file_name"), F.lit("[A_1] was here").alias("text"))
+    maps = spark.range(3000).select(F.col("id").alias("map_id"), F.col("id").alias("recency_rank"), *[F.lit(None).cast("string").alias(c) for c in ("source_name", "output_name", "map_file_name")])
+    entries = spark.range(3000).select(F.col("id").alias("map_id"), F.lit("[A_1]").alias("token"), F.lit("PERSON").alias("category"), F.lit("Jan").alias("canonical_text"), F.lit(None).cast("map<string,string>").alias("fake_forms"))
+    out = P.restore_files(files, maps, entries)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") < 20
+    assert out.groupBy("outcome", "restored_text").count().collect() == [("ok", "Jan was here", 3000)]
+
+
 def test_parse_maps(spark):
     good = '{"entries":[{"token":"[A_1]","canonical_text":"x","category":"PERSON"}]}'
     rows = spark.createDataFrame([(0, good), (1, '{"map":%s}' % good), (2, "{}"), (3, "[]"), (4, "no"), (5, '{"entries":[{"token":1,"canonical_text":"x","category":"P"}]}'), (6, '{"entries":[]}')], "k int, json string")

@@ -14,6 +14,7 @@ from ..operators import maplink, restore
 from ..operators.detect import detect
 from ..operators.filenames import anonymize_name
 from ..operators.spans import accepted, case_numbering, normalize, reject_excluded
+from ..scratch import Scratch
 
 
 class Anonymized(NamedTuple):
@@ -45,16 +46,21 @@ def anonymize_case(docs: DataFrame, spans: DataFrame, *, case_col: str, id_col:
 
 
 def restore_files(files: DataFrame, maps: DataFrame, entries: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
-    """(file_id, outcome, restored_text, message): unsupported, no_map, ambiguous_map or ok with the restored text."""
-    chosen = files.join(maplink.choose_maps(files, maps, entries, by=by), "file_id")
+    """(file_id, outcome, restored_text, message): unsupported, no_map, ambiguous_map or ok with the restored text.
+
+    The inputs are written once, as the choice reads them several times; texts move only where a map is found.
+    """
+    scratch = Scratch(files.sparkSession, "restore")
+    files = scratch.keep(files.select("file_id", *by, "file_name", "text"), "files")
+    maps = scratch.keep(maps.select("map_id", "recency_rank", "source_name", "output_name", "map_file_name"), "maps")
+    entries = scratch.keep(entries.select("map_id", *by, "token", "category", "canonical_text", "fake_forms"), "entries")
+    fits = F.coalesce(N.extension(F.col("file_name")).isin(*N.ACTIONS["restore"]), F.lit(True))
+    chosen = files.select("file_id", fits.alias("fits")).join(maplink.decide_maps(files, maps, entries, by=by), "file_id")
     own = entries.groupBy("map_id").agg(F.collect_list(F.struct("token", "category", "canonical_text")).alias("entries"))
-    found = chosen.filter("choice = 'found'").select("file_id", F.col("map_ids")[0].alias("map_id")).join(own, "map_id").select("file_id", "entries")
-    back = restore.deanonymize(files, found, id_col="file_id", text_col="text").withColumnRenamed("original_text", "restored_text")
-    warned = restore.restore_warnings(files.join(back.select("file_id", "warnings"), "file_id"), found, id_col="file_id", warnings_col="warnings")
-    outcome = F.when(~N.extension(F.col("file_name")).isin(*N.ACTIONS["restore"]), "unsupported").when(F.col("choice") == "none", "no_map").when(F.col("choice") == "ambiguous", "ambiguous_map").otherwise("ok")
-    rows = chosen.select("file_id", outcome.alias("outcome")).join(back.select("file_id", "restored_text"), "file_id").join(warned.select("file_id", "message"), "file_id")
-    ok = F.col("outcome") == "ok"
-    return rows.select("file_id", "outcome", F.when(ok, F.col("restored_text")).alias("restored_text"), F.when(ok, F.col("message")).alias("message"))
+    found = chosen.filter("fits AND choice = 'found'").select("file_id", "map_id").join(own, "map_id").select("file_id", "entries")
+    back = restore.restore_with_warnings(files, found, id_col="file_id")
+    outcome = F.when(~F.col("fits"), "unsupported").when(F.col("choice") == "none", "no_map").when(F.col("choice") == "ambiguous", "ambiguous_map").otherwise("ok")
+    return chosen.join(back, "file_id", "left").select("file_id", outcome.alias("outcome"), F.col("original_text").alias("restored_text"), "message")
 
 
 def file_action(files: DataFrame, action: str, *, categories: Iterable[str] | None = None, excluded: Iterable[str] = (), rules: Iterable[tuple[str, str]] = ()) -> DataFrame:
