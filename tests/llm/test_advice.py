@@ -70,6 +70,34 @@ def test_hot_phrases_hide_no_passage(spark):
     assert found == set(map(frozenset, wanted))
 
 
+def test_links_between_inner_documents(spark):
+    """Of a - x - y - b, each one edit from the next, x and y are joined though neither is like the other's centre."""
+    fresh = iter(range(1_000_000))
+    text = lambda n: [f"i{next(fresh)}" for _ in range(n)]
+    rng, docs = random.Random(61), []
+    for _ in range(12):
+        chain = [text(55)]
+        for at in rng.sample(range(5, 50, 9), 3):
+            chain.append(chain[-1][:at] + text(1) + chain[-1][at + 1 :])
+        docs += [text(20) + p + text(20) for p in chain]
+    found = {(r["doc_id"], r["source_doc_id"]) for r in passages.find_passages(frame(spark, [" ".join(d) for d in docs])).collect()}
+    assert not [k for k in range(0, len(docs), 4) if not {(k, k + 1), (k + 1, k + 2), (k + 2, k + 3)} <= found]
+
+
+def test_maps_bound_matches():
+    """A map leaves out no pair: the places that match are at most those held but for the bits that the other lacks."""
+    rng = np.random.default_rng(8)
+    own = rng.integers(0, 1 << 40, 400).astype(np.uint64)
+    for edited in (0, 40, 200):
+        other = own.copy()
+        other[rng.choice(400, edited, replace=False)] += np.uint64(1 << 50)
+        for at in (0, 10, 200, 399):
+            (x, held), (y, _) = (passages.shingle_maps(t, np.array([0, 400]), np.array([at])) for t in (own, other))
+            lacks = int(np.bitwise_count(x & ~y).sum())
+            around = slice(max(0, at - passages.AROUND), at + passages.AROUND)
+            assert (own[around] == other[around]).sum() <= held[0] - lacks <= held[0] == len(own[around])
+
+
 def test_repeats_without_or_under_one_id(spark):
     """Texts under null ids or one id lose what they share, and none is taken for another."""
     rng = random.Random(41)
