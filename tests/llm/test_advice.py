@@ -98,6 +98,50 @@ def test_maps_bound_matches():
             assert (own[around] == other[around]).sum() <= held[0] - lacks <= held[0] == len(own[around])
 
 
+def test_stock_paragraphs_make_no_pairs(spark, monkeypatch):
+    """Documents that share less than a passage are told apart within their group: few of their pairs are verified."""
+    rng = random.Random(71)
+    text = lambda n: [f"p{rng.randrange(1_000_000)}" for _ in range(n)]
+    stock, keep, rows = text(40), passages.Scratch.keep, {}
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(passages.Scratch, "keep", counted)
+    docs = [text(60) + stock + text(60) for _ in range(80)]
+    passage = text(55)
+    docs[30][60:100], docs[50][60:100] = passage, passage[:20] + text(1) + passage[21:]
+    found = {(r["doc_id"], r["source_doc_id"]) for r in passages.find_passages(frame(spark, [" ".join(d) for d in docs])).collect()}
+    assert found == {(30, 50), (50, 30)}
+    assert sum(n for name, n in rows.items() if name.endswith("-votes")) <= len(docs) ** 2 / 4, rows
+
+
+def test_likely_pairs_lose_no_passage():
+    """All rows of a value whose own side holds a passage with another's are pairs, whatever the edits, shifts and repeats."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for n, kinds in ((70, 1 << 40), (46, 1 << 40), (64, 9)):
+        base = rng.integers(0, kinds, n).astype(np.uint64)
+        for _ in range(12):
+            own = base.copy()
+            own[rng.choice(n, rng.integers(0, n // 5), replace=False)] = rng.integers(0, kinds, 1)[0]
+            own[n // 2] = base[n // 2]
+            cut = int(rng.integers(0, n // 2 - 6))
+            own = np.concatenate([own[:cut], rng.integers(0, 1 << 40, rng.integers(0, 6)).astype(np.uint64), own[cut:]])
+            texts.append((np.concatenate([x := rng.integers(0, 1 << 40, rng.integers(0, 90)).astype(np.uint64), own, rng.integers(0, 1 << 40, 30).astype(np.uint64)]), len(x) + len(own) - n + n // 2, n))
+    tokens, begins = np.concatenate([t for t, _, _ in texts]), np.cumsum([0, *(len(t) for t, _, _ in texts)])
+    at = np.array([a for _, a, _ in texts])
+    prints, repeats = passages.shingle_prints(tokens, begins, begins[:-1] + at)
+    value = np.array([n for _, _, n in texts])
+    number = np.arange(len(texts))
+    got = {(int(i), int(j)) for x, y, _ in passages.likely_pairs(value, number, number, number, repeats, prints, 46, 75) for i, j in zip(x, y)}
+    near = lambda k: texts[k][0][max(0, at[k] - 61) : at[k] + 62].view(np.int64)
+    wanted = {(i, j) for i in number for j in number[:i] if value[i] == value[j] and any(lo <= min(at[i], 61) < hi for lo, hi, *_ in passages.verify(near(i), near(j), 46, 75))}
+    assert len(wanted) > 90 and wanted <= got
+
+
 def test_repeats_without_or_under_one_id(spark):
     """Texts under null ids or one id lose what they share, and none is taken for another."""
     rng = random.Random(41)
